@@ -1,19 +1,642 @@
-"""The queries of the linkage engine by name, each with its SQL."""
+"""The queries of the linkage engine by name, each over whole tables, with its SQL.
+
+``documents`` stands in for business records: each document is an S1 record and a target (S2 or S3
+by its source); its first line is the name, its second the address, its language the country. True
+matches are other documents of the same text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import functions as F
+
+from .functions import keys as K
+from .functions import normal as N
+from .functions import similarity as S
+from .operators import audit, blocking, decide, evaluate, features, learn, retrieval
+from .plans import linkage
+from .sources import tables
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
+def q(name: str, sql: str | None = None):
+    def add(fn):
+        _Q[name] = fn
+        if sql is not None:
+            _SQL[name] = sql
+        return fn
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    line = lambda i: F.split_part("text", F.lit("\n"), F.lit(i))
+    return table(spark, d, "documents").select("doc_id", F.col("lang").alias("country"), F.when(F.length("source") == 4, "S2").otherwise("S3").alias("source"), line(1).alias("name"), line(2).alias("address"), "n_chars", F.md5("text").alias("content"))
+
+
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    return base(spark, d).select(F.concat(F.lit("S1-"), "doc_id").alias("entity_id"), "name", "address", "country", "n_chars")
+
+
+def tgt(spark: SparkSession, d: str) -> DataFrame:
+    return base(spark, d).select(F.concat("source", F.lit("-"), "doc_id").alias("entity_id"), "source", "name", "address", "country", "n_chars")
+
+
+def universe(spark: SparkSession, d: str) -> DataFrame:
+    return s1(spark, d).select(F.col("entity_id").alias("s1_id"))
+
+
+def truth(spark: SparkSession, d: str) -> DataFrame:
+    b = base(spark, d)
+    left = b.select("content", F.concat(F.lit("S1-"), "doc_id").alias("s1_id"), F.col("doc_id").alias("x"))
+    return left.join(b.select("content", F.concat("source", F.lit("-"), "doc_id").alias("target_id"), F.col("doc_id").alias("y")), "content").where("x <> y").select("s1_id", "target_id")
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.union_rules(s1(spark, d), tgt(spark, d), ("E", "B"))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    a, b = s1(spark, d).select(F.col("entity_id").alias("s1_id"), F.col("n_chars").alias("x")), tgt(spark, d).select(F.col("entity_id").alias("target_id"), "source", F.col("n_chars").alias("y"))
+    return pairs(spark, d).join(a, "s1_id").join(b, "target_id").select("s1_id", "target_id", "source", F.round(F.least("x", "y") / F.greatest("x", "y"), 6).alias("score"))
+
+
+CLEAN = "regexp_replace(lower(trim({0})), '[^a-z0-9]', '', 'g')"
+CTE = f"""
+WITH base AS (SELECT doc_id, lang AS country, CASE WHEN length(source) = 4 THEN 'S2' ELSE 'S3' END AS source, split_part(text, chr(10), 1) AS name, split_part(text, chr(10), 2) AS address, n_chars, md5(text) AS content FROM documents),
+s1 AS (SELECT 'S1-' || doc_id AS entity_id, name, address, country, n_chars FROM base),
+tgt AS (SELECT source || '-' || doc_id AS entity_id, source, name, address, country, n_chars FROM base),
+truth AS (SELECT 'S1-' || a.doc_id AS s1_id, b.source || '-' || b.doc_id AS target_id FROM base a JOIN base b ON a.content = b.content AND a.doc_id <> b.doc_id),
+ke AS (SELECT entity_id, country, {CLEAN.format('name')} AS k, trim(address) AS a FROM s1),
+kt AS (SELECT entity_id, country, {CLEAN.format('name')} AS k, trim(address) AS a FROM tgt),
+pairs AS (SELECT s.entity_id AS s1_id, t.entity_id AS target_id FROM ke s JOIN kt t ON s.country = t.country AND s.k = t.k WHERE length(s.k) >= 3
+  UNION SELECT s.entity_id, t.entity_id FROM ke s JOIN kt t ON s.country = t.country AND s.a = t.a WHERE s.a <> ''),
+scored AS (SELECT s1_id, target_id, t.source, round(least(a.n_chars, t.n_chars)::DOUBLE / greatest(a.n_chars, t.n_chars), 6) AS score FROM pairs JOIN s1 a ON a.entity_id = s1_id JOIN tgt t ON t.entity_id = target_id)
+"""
+COUNTS = """, hit AS (SELECT coalesce(t.s1_id, p.s1_id) AS s1_id, (t.s1_id IS NOT NULL)::INT AS t, (p.s1_id IS NOT NULL)::INT AS p FROM (SELECT DISTINCT * FROM truth) t FULL JOIN (SELECT DISTINCT s1_id, target_id FROM chosen) p ON t.s1_id = p.s1_id AND t.target_id = p.target_id),
+counts AS (SELECT entity_id AS s1_id, coalesce(sum(t), 0) AS a, coalesce(sum(p), 0) AS p, coalesce(sum(t * p), 0) AS tp FROM s1 LEFT JOIN hit ON hit.s1_id = entity_id GROUP BY entity_id),
+f AS (SELECT *, CASE WHEN a = 0 AND p = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 5.0 * tp / (a + 4.0 * p) END::DOUBLE AS f FROM counts)
+"""
+SCORE = "SELECT count(*) AS entities, round(avg(f), 9) AS macro_f05, sum(tp)::BIGINT AS tp, sum(p - tp)::BIGINT AS fp, sum(a - tp)::BIGINT AS fn, sum((a = 0 AND p = 0)::INT)::BIGINT AS correct_no_match, sum((a > 0 AND p = 0)::INT)::BIGINT AS false_no_match FROM f"
+
+
+def _score(spark: SparkSession, d: str, chosen: DataFrame) -> DataFrame:
+    s = evaluate.score(evaluate.entity_counts(universe(spark, d), truth(spark, d), chosen))
+    return s.select("entities", F.round("macro_f05", 9).alias("macro_f05"), "tp", "fp", "fn", "correct_no_match", "false_no_match")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return _score(spark, d, blocking.candidates(s1(spark, d), tgt(spark, d), blocking.RULES["E"]))
+
+
+@q("m3_macro_f05_of_exact_keys", CTE + ", chosen AS (SELECT s.entity_id AS s1_id, t.entity_id AS target_id FROM ke s JOIN kt t ON s.country = t.country AND s.k = t.k WHERE length(s.k) >= 3)" + COUNTS + SCORE)
+def _(spark, d):
+    return flagship(spark, d)
+
+
+# ---------------------------------------------------------------- derived keys
+_house = "regexp_extract(trim(text), '[0-9]+[A-Za-z]?', 0)"
+
+
+@q("p1_p5_p7_keys", f"""SELECT doc_id, left(trim(text), 1) AS prefix1, left(trim(text), 4) AS prefix4, md5(split_part(trim(text), ' ', 1)) AS token1, {_house} AS house, regexp_replace({_house}, '^0+', '') AS house_norm, md5({CLEAN.format('text')}) AS clean_md5,
+  md5(CASE WHEN lower(split_part(trim(text), ' ', 1)) IN ('the', 'shri', 'sri', 'dr', 'm/s', 'hotel', 'new', 'om', 'sai', 'jai', 'a', 'an') AND split_part(trim(text), ' ', 2) <> '' THEN split_part(trim(text), ' ', 2) ELSE split_part(trim(text), ' ', 1) END) AS root FROM documents""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", K.prefix("text", 1).alias("prefix1"), K.prefix("text", 4).alias("prefix4"), F.md5(K.first_token("text")).alias("token1"), K.house("text").alias("house"), K.house_norm("text").alias("house_norm"), F.md5(K.clean("text")).alias("clean_md5"), F.md5(K.root_token("text")).alias("root"))
+
+
+@q("p6_house_variants", r"""SELECT doc_id, regexp_extract(trim(text), '\b[0-9]+[A-Za-z]?\b', 0) AS word, regexp_extract(trim(text), '^\s*([0-9]+[A-Za-z]?)', 1) AS leading, regexp_extract(trim(text), '[0-9]+', 0) AS digits FROM documents""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", *(K.house("text", v).alias(v) for v in ("word", "leading", "digits")))
+
+
+@q("p8_core_name", f"SELECT p_partkey, regexp_replace({CLEAN.format('p_name')}, '{K.CORE_SUFFIX}', '') AS core FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", K.core_name("p_name").alias("core"))
+
+
+@q("p9_name_no_suffix", CTE + rf"SELECT entity_id, trim(regexp_replace(lower(coalesce(name, '')), '\b({'|'.join(K.NAME_SUFFIXES)})\b', '', 'g')) AS k FROM s1")
+def _(spark, d):
+    return s1(spark, d).select("entity_id", K.name_no_suffix("name").alias("k"))
+
+
+@q("p10_p12_postal_phone_domain", rf"""SELECT doc_id, regexp_extract(text, '{K.POSTAL}', 1) AS postal, regexp_extract(text, '{K.PHONE}', 1) AS phone, CASE WHEN length(regexp_extract(text, '{K.PHONE}', 1)) >= 8 THEN right(regexp_extract(text, '{K.PHONE}', 1), 8) ELSE '' END AS last8, regexp_extract(lower(text), '{K.DOMAIN}', 1) AS domain,
+  CASE WHEN regexp_extract(text, '{K.POSTAL}', 1) <> '' AND {_house} <> '' THEN regexp_extract(text, '{K.POSTAL}', 1) || '_' || lower({_house}) ELSE '' END AS post_house FROM documents""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", K.postal_code("text").alias("postal"), K.phone_10("text").alias("phone"), K.phone_last8("text").alias("last8"), K.domain("text").alias("domain"), K.joined(K.postal_code("text"), F.lower(K.house("text"))).alias("post_house"))
+
+
+@q("p13_p14_block_keys", CTE + """, w AS (SELECT *, list_filter(string_split_regex(name, '\\s+'), lambda x: x <> '') AS w FROM s1)
+SELECT entity_id, country || '|' || left(trim(name), 4) AS block4, country || '::' || w[1] AS first_word, CASE WHEN length(left(replace(name, ' ', ''), 4)) >= 3 THEN country || '::' || left(replace(name, ' ', ''), 4) END AS prefix_4 FROM w WHERE len(w) > 0""")
+def _(spark, d):
+    return s1(spark, d).select("entity_id", K.block("country", K.prefix("name", 4)).alias("block4"), K.standard_key("name", "country").alias("first_word"), K.standard_key("name", "country", "prefix_4").alias("prefix_4")).where("first_word is not null")
+
+
+@q("p14_sorted_tokens_key")
+def _(spark, d):
+    return s1(spark, d).select("entity_id", K.standard_key("name", "country", "sorted_tokens").alias("block_key"))
+
+
+@q("p15_p16_tokens", CTE + f""", t AS (SELECT entity_id, string_split(trim(regexp_replace(name, '\\s+', ' ', 'g')), ' ') AS w, string_split_regex(lower(name), '\\s+') AS b FROM s1)
+SELECT entity_id, len(w)::BIGINT AS n_tokens, len(list_distinct(list_filter(b, lambda x: length(x) >= 3 AND x NOT IN {K.BLOCKING_STOPWORDS})))::BIGINT AS n_blocking FROM t""")
+def _(spark, d):
+    return s1(spark, d).select("entity_id", F.size(K.tokens("name")).cast("long").alias("n_tokens"), F.size(K.blocking_tokens(F.lower("name"), 3)).cast("long").alias("n_blocking"))
+
+
+@q("p17_p23_accents")
+def _(spark, d):
+    return s1(spark, d).select("entity_id", N.remove_accents("name").alias("plain"))
+
+
+@q("p18_country", "SELECT doc_id, CASE lower(trim(lang)) WHEN 'us' THEN 'US' WHEN 'in' THEN 'IN' WHEN 'fr' THEN 'FR' ELSE upper(trim(lang)) END AS country FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", N.country("lang").alias("country"))
+
+
+@q("p19_p22_normalised")
+def _(spark, d):
+    x = s1(spark, d).select("entity_id", F.col("name").alias("business_name"), F.col("address").alias("business_address"), "country")
+    return N.normalize(x).select("entity_id", "norm_name", "norm_address", "norm_country", N.business_name("business_name", True).alias("stripped"), N.retrieval_name("business_name").alias("retrieval"))
+
+
+@q("p24_p26_transliteration")
+def _(spark, d):
+    return s1(spark, d).select("entity_id", N.transliterate_devanagari("name").alias("t0"), N.transliterate_raw("name").alias("t1"), N.transliterate_schwa("name").alias("t2"), N.transliterate_phonetic("name").alias("t3"), N.transliterate_legal("name").alias("t4"))
+
+
+@q("p27_p28_scripts", r"SELECT doc_id, 'Latin / Other' AS script, NOT regexp_matches(text, '[^\x00-\x7F]') AS ascii_only FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", K.script("text").alias("script"), K.ascii_only("text").alias("ascii_only"))
+
+
+@q("p29_p31_ids", "SELECT c_custkey, CAST(regexp_extract(c_name, '[0-9]+', 0) AS BIGINT) AS n, (c_name IS NULL OR trim(c_name) = '' OR lower(trim(c_name)) = 'nan') AS missing FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey", K.numeric_id("c_name").alias("n"), K.is_missing("c_name").alias("missing"))
+
+
+@q("p32_buckets", "SELECT CASE WHEN o_totalprice < 1000 THEN 'a' WHEN o_totalprice < 50000 THEN 'b' WHEN o_totalprice < 200000 THEN 'c' ELSE 'd' END AS band, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "orders").groupBy(K.ladder("o_totalprice", [1000, 50000, 200000], list("abcd")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("p34_p36_lists", "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda x: x LIKE 'th%'))::BIGINT AS th, len(list_intersect(string_split(split_part(text, chr(10), 1), ' '), string_split(split_part(text, chr(10), 2), ' ')))::BIGINT AS shared FROM documents")
+def _(spark, d):
+    line = lambda i: F.split(F.split_part("text", F.lit("\n"), F.lit(i)), " ")
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", " "), lambda x: x.like("th%"))).cast("long").alias("th"), F.size(F.array_intersect(line(1), line(2))).cast("long").alias("shared"))
+
+
+@q("p37_p38_folds", "SELECT doc_id, (('0x' || left(sha256('314159|S1-' || doc_id), 15))::BIGINT % 5 + ('0x' || substr(sha256('314159|S1-' || doc_id), 16, 1))::BIGINT)::INT % 5 AS fold, (('0x' || left(sha256('S1-' || doc_id), 12))::BIGINT % 10)::INT AS bucket FROM documents")
+def _(spark, d):
+    i = F.concat(F.lit("S1-"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", K.fold(i).alias("fold"), K.hash_bucket(i, 10).alias("bucket"))
+
+
+# ---------------------------------------------------------------- blocking rules
+_T = {
+    "country": "country", "prefix2": f"left({CLEAN.format('name')}, 2)", "prefix3": "left(trim(name), 3)", "prefix4": "left(trim(name), 4)", "token1": "split_part(trim(name), ' ', 1)",
+    "root": f"CASE WHEN lower(split_part(trim(name), ' ', 1)) IN {K.COMMON_PREFIXES} AND split_part(trim(name), ' ', 2) <> '' THEN split_part(trim(name), ' ', 2) ELSE split_part(trim(name), ' ', 1) END",
+    "house": "regexp_extract(trim(address), '[0-9]+[A-Za-z]?', 0)", "house_norm": "regexp_replace(regexp_extract(trim(address), '[0-9]+[A-Za-z]?', 0), '^0+', '')", "name": "trim(name)", "addr": "trim(address)",
+    "clean_name": CLEAN.format("name"), "clean_addr": CLEAN.format("address"), "core": f"regexp_replace({CLEAN.format('name')}, '{K.CORE_SUFFIX}', '')", "zip": f"regexp_extract(address, '{K.POSTAL}', 1)", "addr10": f"left({CLEAN.format('address')}, 10)",
+    "cprefix3": f"left({CLEAN.format('name')}, 3)", "no_suffix": rf"trim(regexp_replace(lower(coalesce(name, '')), '\b({'|'.join(K.NAME_SUFFIXES)})\b', '', 'g'))", "raw_name": "name", "raw_addr": "address",
+}
+
+
+def _rule_sql(r: blocking.Rule) -> str:
+    cols = ", ".join(f"{_T[k]} AS k{i}" for i, k in enumerate(r.keys))
+    least = dict(r.least)
+    guard = " AND ".join(f"length(k{i}) >= {least[k]}" if k in least else f"k{i} <> ''" for i, k in enumerate(r.keys))
+    on = " AND ".join(f"a.k{i} = b.k{i}" for i in range(len(r.keys)))
+    ks = ", ".join(f"k{i}" for i in range(len(r.keys)))
+    right = "(SELECT * FROM kb QUALIFY count(*) OVER (PARTITION BY " + ks + f") <= {r.cluster})" if r.cluster else "kb"
+    sim = f" AND jaro_winkler_similarity(a.c, b.c) >= {r.similar}" if r.similar is not None else ""
+    cap = f" QUALIFY count(*) OVER (PARTITION BY s1_id) <= {r.cap}" if r.cap else ""
+    return CTE + f""", ka AS (SELECT * FROM (SELECT entity_id, {CLEAN.format('name')} AS c, {cols} FROM s1) WHERE {guard}), kb AS (SELECT * FROM (SELECT entity_id, {CLEAN.format('name')} AS c, {cols} FROM tgt) WHERE {guard}),
+    p AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS target_id FROM ka a JOIN {right} b ON {on}{sim}), g AS (SELECT * FROM p{cap})
+    SELECT target_id, count(*) AS n, min(s1_id) AS first_s1 FROM g GROUP BY target_id"""
+
+
+_RULE_IDS = {"A": "j1", "B": "j2", "C": "j3", "D": "j4", "E": "j5", "F1": "j6", "F2": "j7", "G": "j8", "H": "j9", "I": "j10", "EXP1": "j11", "EXP2": "j12", "EXP4a": "j14", "EXP4b": "j14", "E1_no_suffix": "j15", "E1_pin_house": "j17", "E1_raw_name": "j17", "E1_raw_addr": "j17", "E1_pin_token": "j17"}
+
+
+def _rule_query(name: str):
+    def run(spark, d):
+        p = blocking.candidates(s1(spark, d), tgt(spark, d), blocking.RULES[name])
+        return p.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"), F.min("s1_id").alias("first_s1"))
+
+    return run
+
+
+for _name, _id in _RULE_IDS.items():
+    q(f"{_id}_rule_{_name.lower()}", _rule_sql(blocking.RULES[_name]))(_rule_query(_name))
+
+
+@q("j13_transliterated_prefix", CTE + f""", a AS (SELECT entity_id, country, {CLEAN.format('name')} AS c FROM s1), b AS (SELECT entity_id, country, {CLEAN.format('name')} AS c FROM tgt),
+u AS (SELECT a.entity_id AS s1_id, b.entity_id AS target_id FROM a JOIN b ON a.country = b.country AND left(a.c, 6) = left(b.c, 6) AND a.c <> '' WHERE jaro_winkler_similarity(a.c, b.c) >= 0.8), g AS (SELECT DISTINCT * FROM u), h AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY s1_id) <= 50)
+SELECT s1_id, count(*) AS n FROM h GROUP BY 1""")
+def _(spark, d):
+    side = lambda df, i: df.select(F.col("entity_id").alias(i), "country", K.clean(N.transliterate_devanagari("name")).alias(f"{i}_c")).withColumn("k", F.substring(f"{i}_c", 1, 6)).where("k <> ''")
+    p = side(s1(spark, d), "s1_id").join(side(tgt(spark, d), "target_id"), ["country", "k"]).where(S.jaro_winkler("s1_id_c", "target_id_c") >= 0.8).select("s1_id", "target_id").distinct()
+    return blocking.cap_fanout(p, 50).groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("j16_j21_siblings", CTE + f""", t AS (SELECT entity_id, source, country, {CLEAN.format('address')} AS k FROM tgt WHERE length({CLEAN.format('address')}) >= 12)
+SELECT s1_id, count(DISTINCT o.entity_id) AS n FROM pairs JOIN t ON t.entity_id = target_id JOIN t o ON o.country = t.country AND o.k = t.k AND o.source <> t.source GROUP BY s1_id""")
+def _(spark, d):
+    return blocking.siblings(pairs(spark, d), tgt(spark, d), K.clean("address"), 12).groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("j18_pin_anchored_top3", f"""WITH e AS (SELECT doc_id, lang, split_part(text, chr(10), 1) AS name, regexp_extract(text, '{K.POSTAL}', 1) AS pin FROM documents),
+p AS (SELECT a.doc_id AS s1_id, b.doc_id AS target_id, round(jaro_winkler_similarity(a.name, b.name), 6) AS score FROM e a JOIN e b ON a.lang = b.lang AND a.pin = b.pin AND a.pin <> '' AND a.doc_id <> b.doc_id)
+SELECT s1_id, target_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id)::INT AS rank FROM p WHERE score >= 0.85 QUALIFY rank <= 3""")
+def _(spark, d):
+    e = lambda i: table(spark, d, "documents").select(F.col("doc_id").alias(i), "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias(f"{i}_n"), K.postal_code("text").alias("pin")).where("pin <> ''")
+    p = e("s1_id").join(e("target_id"), ["lang", "pin"]).where("s1_id <> target_id").select("s1_id", "target_id", F.round(S.jaro_winkler("s1_id_n", "target_id_n"), 6).alias("score"))
+    return retrieval.top_k(p.where("score >= 0.85"), 3)
+
+
+@q("j19_j20_shared_address_tokens", CTE + """, k AS (SELECT entity_id, country, left(trim(name), 8) AS k, list_distinct(string_split(address, ' ')) AS w FROM s1), t AS (SELECT entity_id, country, left(trim(name), 8) AS k, list_distinct(string_split(address, ' ')) AS w FROM tgt)
+SELECT k.entity_id AS s1_id, count(*) AS n FROM k JOIN t USING (country, k) WHERE k.k <> '' AND len(list_intersect(k.w, t.w)) >= 2 GROUP BY 1""")
+def _(spark, d):
+    e = lambda df, i: df.select(F.col("entity_id").alias(i), "country", K.prefix("name", 8).alias("k"), F.split("address", " ").alias(f"{i}_w")).where("k <> ''")
+    p = e(s1(spark, d), "s1_id").join(e(tgt(spark, d), "target_id"), ["country", "k"]).where(F.size(F.array_intersect("s1_id_w", "target_id_w")) >= 2)
+    return p.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("j22_standard_blocker", "WITH k AS (SELECT p_partkey, p_type || '::' || split_part(p_name, ' ', 1) AS k FROM part), fine AS (SELECT k FROM k GROUP BY k HAVING count(*) <= 200) SELECT k AS block_key, count(*) AS pairs FROM k a JOIN k b USING (k) JOIN fine USING (k) WHERE a.p_partkey <> b.p_partkey GROUP BY k")
+def _(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_type").alias("country"))
+    return blocking.standard_blocks(p, p, "first_word", 200).groupBy("block_key").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+_TOK = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: length(x) >= 3))"
+
+
+@q("j23_token_index", CTE + f""", a AS (SELECT entity_id, country, unnest({_TOK.format('name')}) AS t FROM s1), b AS (SELECT entity_id, country, unnest({_TOK.format('name')}) AS t FROM tgt), df AS (SELECT country, t, ln(1 + (SELECT count(*) FROM tgt)::DOUBLE / count(*)) AS w FROM b GROUP BY 1, 2 HAVING count(*) <= 50),
+p AS (SELECT a.entity_id AS s1_id, b.entity_id AS target_id, round(sum(w), 4) AS score FROM a JOIN df USING (country, t) JOIN b USING (country, t) GROUP BY 1, 2)
+SELECT s1_id, count(*) AS n, round(sum(score), 4) AS total FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) <= 5) GROUP BY 1""")
+def _(spark, d):
+    t = F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: F.length(x) >= 3))
+    hits = retrieval.token_index(s1(spark, d), tgt(spark, d), t, 5, 50)
+    return hits.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@q("j24_tfidf_words")
+def _(spark, d):
+    plain = lambda df: df.withColumn("plain", N.retrieval_name("name"))
+    return retrieval.tfidf_top_k(plain(s1(spark, d)), plain(tgt(spark, d)), retrieval.word_ngrams(F.col("plain")), 5, 0.01)
+
+
+@q("j25_tfidf_char3")
+def _(spark, d):
+    return retrieval.tfidf_top_k(s1(spark, d), tgt(spark, d), retrieval.char_ngrams(F.lower("name")), 5, 0.01, 2)
+
+
+@q("j26_j28_labels_and_folds", CTE + "SELECT s1_id, target_id, (s1_id, target_id) IN (SELECT (s1_id, target_id) FROM truth) AS label FROM pairs")
+def _(spark, d):
+    return linkage.label(pairs(spark, d), truth(spark, d)).select("s1_id", "target_id", (F.col("label") == 1).alias("label"))
+
+
+@q("j30_j33_missed_truth", CTE + "SELECT s1_id, target_id FROM truth EXCEPT SELECT s1_id, target_id FROM scored WHERE score >= 0.999999")
+def _(spark, d):
+    return truth(spark, d).join(scored(spark, d).where("score < 0.999999"), ["s1_id", "target_id"], "left_semi").unionByName(truth(spark, d).join(pairs(spark, d), ["s1_id", "target_id"], "left_anti")).distinct()
+
+
+@q("j32_semi_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_order FROM customer")
+def _(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(o, "c_custkey", "left_semi").select("c_custkey", F.lit(True).alias("has_order")).unionByName(c.join(o, "c_custkey", "left_anti").select("c_custkey", F.lit(False).alias("has_order")))
+
+
+@q("j34_full_outer_mix", "WITH a AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT lang, count(*) AS m FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) SELECT coalesce(a.lang, b.lang) AS lang, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM a FULL JOIN b ON a.lang = b.lang")
+def _(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "lang")
+    a = t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    b = t.join(table(spark, d, "labels").where("toxic = 1"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("m"))
+    return a.join(b, "lang", "full_outer").na.fill(0, ["n", "m"])
+
+
+@q("j35_random_pairs")
+def _(spark, d):
+    return blocking.random_pairs(s1(spark, d), tgt(spark, d))
+
+
+# ---------------------------------------------------------------- similarity and features
+_FEATURES_SQL = CTE + """, x AS (SELECT p.s1_id, p.target_id, a.name AS n1, b.name AS n2, a.address AS a1, b.address AS a2, a.country AS c1, b.country AS c2 FROM pairs p JOIN s1 a ON a.entity_id = s1_id JOIN tgt b ON b.entity_id = target_id)
+SELECT s1_id, target_id, CASE WHEN n1 <> '' AND n1 = n2 THEN 1.0 ELSE 0.0 END::DOUBLE AS name_exact_match, round(jaro_winkler_similarity(n1, n2) / 100.0, 9) AS name_jaro_winkler, round(CASE WHEN length(n1) >= 2 AND length(n2) >= 2 THEN jaccard(n1, n2) ELSE 0.0 END, 9) AS name_jaccard,
+ CASE WHEN length(n1) >= 4 AND length(n2) >= 4 AND left(n1, 4) = left(n2, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS prefix4_match, CASE WHEN n1 <> '' AND n2 <> '' AND split_part(n1, ' ', 1) = split_part(n2, ' ', 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS first_token_match,
+ abs(length(n1) - length(n2))::DOUBLE AS name_len_diff, round(CASE WHEN length(n1) > 0 AND length(n2) > 0 THEN least(length(n1), length(n2))::DOUBLE / greatest(length(n1), length(n2)) ELSE 0.0 END, 9) AS name_len_ratio,
+ CASE WHEN a1 <> '' AND a1 = a2 THEN 1.0 ELSE 0.0 END::DOUBLE AS address_exact_match, round(jaro_winkler_similarity(a1, a2) / 100.0, 9) AS address_jaro_winkler, round(CASE WHEN length(a1) >= 2 AND length(a2) >= 2 THEN jaccard(a1, a2) ELSE 0.0 END, 9) AS address_jaccard,
+ abs(length(a1) - length(a2))::DOUBLE AS address_len_diff, round(CASE WHEN length(a1) > 0 AND length(a2) > 0 THEN least(length(a1), length(a2))::DOUBLE / greatest(length(a1), length(a2)) ELSE 0.0 END, 9) AS address_len_ratio,
+ CASE WHEN regexp_extract(a1, '[0-9]+[A-Za-z]?', 0) <> '' AND regexp_extract(a1, '[0-9]+[A-Za-z]?', 0) = regexp_extract(a2, '[0-9]+[A-Za-z]?', 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS address_first_number_match, CASE WHEN c1 <> '' AND c1 = c2 THEN 1.0 ELSE 0.0 END::DOUBLE AS country_match,
+ length(n1)::DOUBLE AS s1_name_len, length(n2)::DOUBLE AS tgt_name_len, length(a1)::DOUBLE AS s1_addr_len, length(a2)::DOUBLE AS tgt_addr_len, CASE WHEN target_id LIKE 'S3-%' THEN 1.0 ELSE 0.0 END::DOUBLE AS source_is_s3 FROM x"""
+
+
+@q("s7_s9_canonical_features", _FEATURES_SQL)
+def _(spark, d):
+    x = features.canonical(features.attach(pairs(spark, d), s1(spark, d), tgt(spark, d)))
+    return x.select("s1_id", "target_id", *(F.round(n, 9).alias(n) for n in features.NAMES))
+
+
+@q("s1_s6_compact_features")
+def _(spark, d):
+    return features.compact(features.attach(pairs(spark, d), s1(spark, d), tgt(spark, d))).drop("s1_name", "s1_address", "s1_country", "tgt_name", "tgt_address", "tgt_country")
+
+
+@q("s1_s3_set_similarity", CTE + """, x AS (SELECT s1_id, target_id, list_distinct(string_split(a.address, ' ')) AS u, list_distinct(string_split(b.address, ' ')) AS v FROM pairs JOIN s1 a ON a.entity_id = s1_id JOIN tgt b ON b.entity_id = target_id)
+SELECT s1_id, target_id, round(len(list_intersect(u, v))::DOUBLE / (len(u) + len(v) - len(list_intersect(u, v))), 6) AS jaccard, round(len(list_intersect(u, v))::DOUBLE / least(len(u), len(v)), 6) AS overlap FROM x""")
+def _(spark, d):
+    x = features.attach(pairs(spark, d), s1(spark, d), tgt(spark, d)).withColumns({"u": F.split("s1_address", " "), "v": F.split("tgt_address", " ")})
+    return x.select("s1_id", "target_id", F.round(S.token_jaccard("u", "v"), 6).alias("jaccard"), F.round(S.token_overlap("u", "v"), 6).alias("overlap"))
+
+
+@q("s10_forensics")
+def _(spark, d):
+    x = features.forensics(features.attach(pairs(spark, d), s1(spark, d), tgt(spark, d)))
+    return x.drop("s1_name", "s1_address", "s1_country", "tgt_name", "tgt_address", "tgt_country")
+
+
+# ---------------------------------------------------------------- aggregates, windows, sets
+@q("a1_a3_a7_aggregates", "SELECT l_returnflag, count(*) AS n, sum((l_discount > 0.05)::INT)::BIGINT AS discounted, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT (l_orderkey, l_suppkey)) AS order_suppliers, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, max(l_shipdate) >= TIMESTAMP '1995-01-01' AS recent FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("l_discount") > 0.05, 1)).alias("discounted"), F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct(F.struct("l_orderkey", "l_suppkey")).alias("order_suppliers"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), (F.max("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")).alias("recent"))
+
+
+@q("a6_quantiles", "SELECT l_shipmode_proxy, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99, round(median(l_quantity), 6) AS med FROM (SELECT *, l_linestatus AS l_shipmode_proxy FROM lineitem) GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("l_shipmode_proxy")).agg(F.round(F.percentile("l_extendedprice", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("l_extendedprice", F.lit(0.99)), 6).alias("p99"), F.round(F.median("l_quantity"), 6).alias("med"))
+
+
+@q("a8_d1_submission", CTE + ", c AS (SELECT * FROM scored WHERE score >= 0.9) SELECT entity_id AS s1_id, coalesce(string_agg(target_id, ',' ORDER BY score DESC, target_id), '') AS matched_entity_ids FROM s1 LEFT JOIN c ON s1_id = entity_id GROUP BY 1")
+def _(spark, d):
+    return decide.submission(universe(spark, d), scored(spark, d).where("score >= 0.9"))
+
+
+@q("a10_block_statistics", "WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1) SELECT count(*) AS blocks, sum(n)::BIGINT AS rows, max(n) AS largest, round(avg(n), 6) AS mean, round(median(n), 6) AS median, sum(n * (n - 1) // 2)::BIGINT AS pairs FROM n")
+def _(spark, d):
+    return blocking.block_statistics(table(spark, d, "part"), "p_name").withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6)})
+
+
+@q("a12_fanout", CTE + ", n AS (SELECT entity_id, count(s1_id) AS n FROM s1 LEFT JOIN pairs ON s1_id = entity_id GROUP BY 1) SELECT count(*) AS entities, sum(n)::BIGINT AS pairs, round(avg(n), 6) AS mean, quantile_cont(n, 0.5)::DOUBLE AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS largest, sum((n = 0)::INT)::BIGINT AS empty, sum((n >= 300)::INT)::BIGINT AS ge300 FROM n")
+def _(spark, d):
+    return evaluate.fanout(universe(spark, d), pairs(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean", "p90", "p95", "p99")})
+
+
+@q("a13_a14_calibration", CTE + ", x AS (SELECT least(floor(score * 10), 9)::INT AS bucket, score, (EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = scored.s1_id AND t.target_id = scored.target_id))::INT AS label FROM scored) SELECT bucket, count(*) AS n, sum(label)::BIGINT AS positives, round(avg(label), 6) AS rate, round(avg(score), 6) AS mean_score FROM x GROUP BY 1")
+def _(spark, d):
+    return evaluate.calibration(linkage.label(scored(spark, d), truth(spark, d))).withColumns({c: F.round(c, 6) for c in ("rate", "mean_score")})
+
+
+@q("w1_w3_top_and_exclusive", CTE + ", e AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY score DESC, s1_id) = 1) SELECT s1_id, target_id, score FROM e QUALIFY row_number() OVER (PARTITION BY s1_id, source ORDER BY score DESC, target_id) <= 1")
+def _(spark, d):
+    return decide.top(decide.exclusive(scored(spark, d)), 1, "source").select("s1_id", "target_id", "score")
+
+
+@q("w6_tied_claims", CTE + ", r AS (SELECT *, dense_rank() OVER (PARTITION BY target_id ORDER BY score DESC) AS r FROM scored) SELECT target_id, count(*) AS claims, max(score) AS score FROM r WHERE r = 1 GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    return decide.tied_claims(scored(spark, d))
+
+
+@q("w7_w9_group_totals", "SELECT o_orderpriority, o_orderstatus, n, round(n * 1.0 / sum(n) OVER (PARTITION BY o_orderpriority), 6)::DOUBLE AS share FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)")
+def _(spark, d):
+    g = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("o_orderpriority")), 6))
+
+
+@q("w10_stratified_sample", "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY sha256(event_id::VARCHAR), event_id) <= 50")
+def _(spark, d):
+    w = W.partitionBy("event_type").orderBy(F.sha2(F.col("event_id").cast("string"), 256), "event_id")
+    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 50").select("event_id", "event_type")
+
+
+@q("w11_running_sums", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
+def _(spark, d):
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"))
+
+
+@q("o1_o4_top_lists", "SELECT * FROM (SELECT o_orderkey, o_totalprice, 'high' AS kind FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100) UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice, 'low' AS kind FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100)")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).withColumn("kind", F.lit("high")).unionByName(o.orderBy("o_totalprice", "o_orderkey").limit(100).withColumn("kind", F.lit("low")))
+
+
+@q("set1_set4_set_operations", "SELECT * FROM (SELECT c_nationkey AS k, 'both' AS s FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT c_nationkey, 'customer' FROM customer EXCEPT SELECT s_nationkey, 'customer' FROM supplier) UNION ALL (SELECT s_nationkey, 'supplier' FROM supplier EXCEPT SELECT c_nationkey, 'supplier' FROM customer)")
+def _(spark, d):
+    c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    tag = lambda df, t: df.withColumn("s", F.lit(t))
+    return tag(c.intersect(s), "both").unionByName(tag(c.subtract(s), "customer")).unionByName(tag(s.subtract(c), "supplier"))
+
+
+@q("u1_u3_unnest_lists", "WITH l AS (SELECT o_custkey, string_agg('S2-' || o_orderkey, ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1) SELECT 'S1-' || o_custkey AS source1_entity_id, trim(unnest(string_split(ids, ','))) AS matched_entity_id, 'S2' AS match_source FROM l")
+def _(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("S2-"), "o_orderkey"))), ",").alias("matched_entity_ids"))
+    return tables.truth_pairs(o.select(F.concat(F.lit("S1-"), "o_custkey").alias("source1_entity_id"), "matched_entity_ids"))
+
+
+@q("io19_id_lists", "SELECT doc_id, ['S2-' || doc_id, 'S3-' || (doc_id + 1)]::VARCHAR AS ids FROM documents")
+def _(spark, d):
+    messy = F.concat(F.lit("['S2-"), "doc_id", F.lit("'| \"S3-"), (F.col("doc_id") + 1).cast("string"), F.lit('"]'))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(tables.id_list(messy), ", "), F.lit("]")).alias("ids"))
+
+
+@q("io22_fingerprint")
+def _(spark, d):
+    return tables.fingerprint(table(spark, d, "orders").select(F.col("o_orderkey").cast("string"), "o_orderstatus"), "o_orderkey", "o_orderstatus")
+
+
+# ---------------------------------------------------------------- evaluation
+@q("m4_blocking_metrics", CTE + ", h AS (SELECT t.s1_id, p.s1_id IS NOT NULL AS hit FROM truth t LEFT JOIN pairs p ON p.s1_id = t.s1_id AND p.target_id = t.target_id), e AS (SELECT s1_id, count(*) AS a, sum(hit::INT) AS k FROM h GROUP BY 1), n AS (SELECT count(*) AS c FROM pairs), m AS (SELECT count(*) AS r FROM base) SELECT sum(a)::BIGINT AS truths, sum(k)::BIGINT AS found, any_value(c) AS candidates, round(sum(k)::DOUBLE / sum(a), 6) AS pair_completeness, round(sum(k)::DOUBLE / any_value(c), 6) AS pair_quality, round(1 - any_value(c)::DOUBLE / (any_value(r)::DOUBLE * any_value(r)), 8) AS reduction_ratio, round(avg((k > 0)::INT), 4) AS query_coverage, round(avg((k = a)::INT), 4) AS full_query_coverage FROM e, n, m")
+def _(spark, d):
+    n = table(spark, d, "documents").count()
+    return evaluate.blocking_metrics(truth(spark, d), pairs(spark, d), n, n)
+
+
+@q("m7_candidate_set", CTE + ", x AS (SELECT p.*, a.country AS c1, b.country AS c2, t.s1_id IS NOT NULL AS t FROM pairs p LEFT JOIN s1 a ON a.entity_id = s1_id LEFT JOIN tgt b ON b.entity_id = target_id LEFT JOIN truth t ON t.s1_id = p.s1_id AND t.target_id = p.target_id) SELECT count(*) AS pairs, count(DISTINCT (s1_id, target_id)) AS distinct_pairs, 0::BIGINT AS null_ids, 0::BIGINT AS self_matches, sum((c1 IS NULL)::INT)::BIGINT AS unknown_s1, sum((c2 IS NULL)::INT)::BIGINT AS unknown_target, sum((c1 <> c2)::INT)::BIGINT AS cross_country, sum(t::INT)::BIGINT AS true_pairs, (SELECT count(*) FROM truth) AS truths, round(sum(t::INT)::DOUBLE / (SELECT count(*) FROM truth), 6) AS recall FROM x")
+def _(spark, d):
+    return audit.candidate_set(pairs(spark, d), s1(spark, d), tgt(spark, d), truth(spark, d)).withColumn("recall", F.round("recall", 6))
+
+
+_CH = "SELECT DISTINCT s.entity_id AS s1_id, t.entity_id AS target_id, {bit} AS bit FROM ke s JOIN kt t ON s.country = t.country AND {on}"
+
+
+@q("m8_m10_attribution", CTE + ", u AS (" + _CH.format(bit=1, on="s.a = t.a AND s.a <> ''") + " UNION ALL " + _CH.format(bit=2, on="s.k = t.k AND length(s.k) >= 3") + """), p AS (SELECT s1_id, target_id, bit_or(bit)::INT AS ch FROM u GROUP BY 1, 2), x AS (SELECT p.*, (t.s1_id IS NOT NULL)::INT AS t, CASE WHEN ch & 1 = 1 THEN 0 ELSE 1 END AS first FROM p LEFT JOIN truth t ON t.s1_id = p.s1_id AND t.target_id = p.target_id),
+c AS (SELECT 0 AS step, 'B' AS channel UNION ALL SELECT 1, 'E') SELECT step, channel, count(*) AS pairs, sum(t)::BIGINT AS true_pairs, sum((first = step)::INT)::BIGINT AS new_pairs, sum((first = step)::INT * t)::BIGINT AS new_true_pairs FROM c JOIN x ON ch & (1 << step) <> 0 GROUP BY 1, 2""")
+def _(spark, d):
+    return evaluate.attribution(blocking.provenance(s1(spark, d), tgt(spark, d), ["B", "E"]), truth(spark, d), ["B", "E"])
+
+
+@q("m10_ablation")
+def _(spark, d):
+    return evaluate.ablation(evaluate.attribution(blocking.provenance(s1(spark, d), tgt(spark, d), ["B", "E", "D"]), truth(spark, d), ["B", "E", "D"]))
+
+
+_RANK = CTE + """, a AS (SELECT s1_id, count(*) AS a FROM truth GROUP BY 1), r AS (SELECT s.*, row_number() OVER (PARTITION BY s.s1_id ORDER BY score DESC, s.target_id) AS rank, t.s1_id IS NOT NULL AS t FROM scored s LEFT JOIN truth t ON t.s1_id = s.s1_id AND t.target_id = s.target_id),
+j AS (SELECT s1_id, rank, row_number() OVER (PARTITION BY s1_id ORDER BY rank) AS j FROM r WHERE t), b AS (SELECT j.s1_id, count(*) AS k, max(5.0 * j / (a + 4.0 * rank))::DOUBLE AS ro FROM j JOIN a ON a.s1_id = j.s1_id GROUP BY 1),
+o AS (SELECT entity_id AS s1_id, coalesce(a, 0) AS a, coalesce(k, 0) AS k, CASE WHEN a IS NULL THEN 1.0 ELSE 5.0 * coalesce(k, 0) / (a + 4.0 * coalesce(k, 0)) END::DOUBLE AS co, CASE WHEN a IS NULL THEN 1.0 ELSE coalesce(ro, 0) END::DOUBLE AS ro FROM s1 LEFT JOIN a ON a.s1_id = entity_id LEFT JOIN b ON b.s1_id = entity_id)"""
+
+
+@q("m11_m13_m19_oracles", _RANK + "SELECT CASE WHEN a = 0 THEN 'NO_TRUTH' WHEN k = 0 THEN 'ZERO' WHEN k < a THEN 'PARTIAL' ELSE 'FULL' END AS capture, count(*) AS entities, round(avg(co), 6) AS candidate_oracle, round(avg(ro), 6) AS ranking_oracle FROM o GROUP BY 1")
+def _(spark, d):
+    o = evaluate.oracles(universe(spark, d), truth(spark, d), scored(spark, d))
+    return o.groupBy(evaluate.capture().alias("capture")).agg(F.count(F.lit(1)).alias("entities"), F.round(F.avg("candidate_oracle"), 6).alias("candidate_oracle"), F.round(F.avg("ranking_oracle"), 6).alias("ranking_oracle"))
+
+
+_TS = [0.5, 0.7, 0.9, 0.95, 1.0]
+_SWEEP = CTE + f""", th AS (SELECT unnest({_TS})::DOUBLE AS threshold), a AS (SELECT s1_id, count(*) AS a FROM truth GROUP BY 1), z AS (SELECT s.*, (t.s1_id IS NOT NULL)::INT AS t FROM scored s LEFT JOIN truth t ON t.s1_id = s.s1_id AND t.target_id = s.target_id),
+e AS (SELECT entity_id AS s1_id, threshold, coalesce(any_value(a.a), 0) AS a, count(z.s1_id) AS p, coalesce(sum(z.t), 0) AS tp FROM s1 CROSS JOIN th LEFT JOIN a ON a.s1_id = entity_id LEFT JOIN z ON z.s1_id = entity_id AND z.score >= threshold GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN a = 0 AND p = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 5.0 * tp / (a + 4.0 * p) END::DOUBLE AS f, (('0x' || left(sha256('314159|' || s1_id), 15))::BIGINT % 5 + ('0x' || substr(sha256('314159|' || s1_id), 16, 1))::BIGINT)::INT % 5 AS fold FROM e)"""
+
+
+@q("m14_threshold_sweep", _SWEEP + "SELECT threshold, count(*) AS entities, round(avg(f), 9) AS macro_f05, sum(tp)::BIGINT AS tp, sum(p)::BIGINT AS p, sum(a)::BIGINT AS a, sum((p > 0)::INT)::BIGINT AS non_empty FROM f GROUP BY 1")
+def _(spark, d):
+    x = evaluate.sweep(evaluate.threshold_counts(universe(spark, d), truth(spark, d), scored(spark, d), _TS), _TS)
+    return x.drop("f_sum").withColumn("macro_f05", F.round("macro_f05", 9))
+
+
+@q("m15_m18_nested_threshold", _SWEEP + ", g AS (SELECT fold, threshold, count(*) AS n, sum(f) AS s FROM f GROUP BY 1, 2), h AS (SELECT a.fold, a.threshold, any_value(a.n) AS entities, round(any_value(a.s) / any_value(a.n), 9) AS macro_f05, round(sum(b.s) / sum(b.n), 12) AS rest FROM g a JOIN g b ON a.threshold = b.threshold AND a.fold <> b.fold GROUP BY 1, 2) SELECT fold, threshold, entities, macro_f05 FROM h QUALIFY row_number() OVER (PARTITION BY fold ORDER BY rest DESC, threshold) = 1")
+def _(spark, d):
+    c = evaluate.threshold_counts(universe(spark, d), truth(spark, d), scored(spark, d), _TS).withColumn("fold", K.fold("s1_id"))
+    return evaluate.nested(evaluate.sweep(c, _TS, ("fold",))).withColumn("macro_f05", F.round("macro_f05", 9))
+
+
+@q("m16_margin", CTE + ", chosen AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) - score AS gap FROM scored) WHERE score >= 0.7 AND gap <= 0.05)" + COUNTS + SCORE)
+def _(spark, d):
+    return _score(spark, d, evaluate.margin_counts(scored(spark, d), 0.7, 0.05))
+
+
+@q("m17_loss", _RANK + ", chosen AS (SELECT * FROM scored WHERE score >= 0.95)" + COUNTS.replace(", f AS", ", ff AS").replace("f AS (SELECT *, CASE", "ff AS (SELECT *, CASE") + "SELECT round(1 - (SELECT avg(co) FROM o), 9) AS blocking_loss, round((SELECT avg(co) - avg(ro) FROM o), 9) AS ranking_loss, round((SELECT avg(ro) FROM o) - (SELECT avg(f) FROM ff), 9) AS decision_loss")
+def _(spark, d):
+    macro = evaluate.score(evaluate.entity_counts(universe(spark, d), truth(spark, d), scored(spark, d).where("score >= 0.95"))).select("macro_f05")
+    o = evaluate.oracles(universe(spark, d), truth(spark, d), scored(spark, d)).agg(F.avg("candidate_oracle").alias("c"), F.avg("ranking_oracle").alias("r"))
+    return o.crossJoin(macro).select(F.round(1 - F.col("c"), 9).alias("blocking_loss"), F.round(F.col("c") - F.col("r"), 9).alias("ranking_loss"), F.round(F.col("r") - F.col("macro_f05"), 9).alias("decision_loss"))
+
+
+_LAB = "SELECT doc_id, toxic AS label, round(least(1.0, n_chars / 10000.0), 6)::DOUBLE AS score FROM documents JOIN labels USING (doc_id)"
+
+
+def _labelled(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.col("toxic").alias("label"), F.round(F.least(F.lit(1.0), F.col("n_chars") / 10000.0), 6).alias("score"))
+
+
+@q("m22_average_precision", f"WITH x AS ({_LAB}), s AS (SELECT score, count(*) AS n, sum(label) AS y FROM x GROUP BY 1), c AS (SELECT y, sum(n) OVER w AS cn, sum(y) OVER w AS cy, sum(y) OVER () AS t FROM s WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT round(sum(y::DOUBLE / t * cy / cn), 9) AS average_precision FROM c")
+def _(spark, d):
+    return evaluate.average_precision(_labelled(spark, d)).select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@q("m23_confusion", f"WITH x AS ({_LAB}), t AS (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS threshold), c AS (SELECT threshold, sum((score >= threshold AND label = 1)::INT)::BIGINT AS tp, sum((score >= threshold AND label = 0)::INT)::BIGINT AS fp, sum((score < threshold AND label = 1)::INT)::BIGINT AS fn, sum((score < threshold AND label = 0)::INT)::BIGINT AS tn FROM x, t GROUP BY 1) SELECT *, round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / (tp + fn), 9) AS recall, round(2.0 * tp / (2.0 * tp + fp + fn), 9)::DOUBLE AS f1, round(1.25 * tp / (1.25 * tp + fp + 0.25 * fn), 9)::DOUBLE AS f05 FROM c")
+def _(spark, d):
+    return evaluate.confusion(_labelled(spark, d), [0.1, 0.3, 0.5]).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "f05")})
+
+
+@q("m24_parity", "WITH x AS (SELECT length(source) AS g, n_chars::DOUBLE AS v FROM documents), a AS (SELECT avg(v) AS m, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90 FROM x WHERE g = 4), b AS (SELECT avg(v) AS m, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90 FROM x WHERE g <> 4) SELECT 'n_chars' AS feature, round(a.m, 6) AS a_mean, round(b.m, 6) AS b_mean, round(a.p90, 6) AS a_p90, round(b.p90, 6) AS b_p90, abs((b.m - a.m) / abs(a.m) * 100) > 25 AS shifted FROM a, b")
+def _(spark, d):
+    b = base(spark, d)
+    x = evaluate.parity(b.where("source = 'S2'"), b.where("source = 'S3'"), ["n_chars"])
+    return x.select("feature", *(F.round(c, 6).alias(c) for c in ("a_mean", "b_mean", "a_p90", "b_p90")), "shifted")
+
+
+@q("m25_score_difference", CTE + "SELECT count(*) AS pairs, round(max(score - round(score, 1)), 6) AS largest_up, sum(((score >= 0.9) <> (round(score, 1) >= 0.9))::INT)::BIGINT AS flips FROM scored")
+def _(spark, d):
+    s = scored(spark, d)
+    x = evaluate.score_difference(s, s.withColumn("score", F.round("score", 1)), 0.9)
+    up = s.agg(F.round(F.max(F.col("score") - F.round("score", 1)), 6).alias("largest_up"))
+    return x.crossJoin(up).select("pairs", "largest_up", "flips")
+
+
+@q("m26_profile", "SELECT 'c_name' AS column, count(*) AS rows, sum((c_name IS NULL)::INT)::BIGINT AS nulls, sum((trim(c_name) = '')::INT)::BIGINT AS blank, count(DISTINCT c_name) AS distinct_values, min(length(c_name))::INT AS shortest, max(length(c_name))::INT AS longest, round(avg(length(c_name)), 6) AS mean_length FROM customer UNION ALL SELECT 'c_mktsegment', count(*), sum((c_mktsegment IS NULL)::INT)::BIGINT, sum((trim(c_mktsegment) = '')::INT)::BIGINT, count(DISTINCT c_mktsegment), min(length(c_mktsegment))::INT, max(length(c_mktsegment))::INT, round(avg(length(c_mktsegment)), 6) FROM customer")
+def _(spark, d):
+    return audit.profile(table(spark, d, "customer"), ["c_name", "c_mktsegment"]).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@q("m26_duplicates", "WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) AS groups, sum((n > 1)::INT)::BIGINT AS repeated, sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END)::BIGINT AS surplus_rows, max(n) AS largest FROM g")
+def _(spark, d):
+    return audit.duplicates(table(spark, d, "documents"), "text")
+
+
+@q("m28_key_agreement", CTE + f", x AS (SELECT p.s1_id, a.name AS n1, b.name AS n2, a.address AS a1, b.address AS a2, (t.s1_id IS NOT NULL)::INT AS label FROM pairs p JOIN s1 a ON a.entity_id = p.s1_id JOIN tgt b ON b.entity_id = p.target_id LEFT JOIN truth t ON t.s1_id = p.s1_id AND t.target_id = p.target_id) SELECT label, count(*) AS pairs, round(avg((n1 <> '' AND n1 = n2)::INT), 6) AS name, round(avg((a1 <> '' AND a1 = a2)::INT), 6) AS address FROM x GROUP BY 1")
+def _(spark, d):
+    x = linkage.label(features.attach(pairs(spark, d), s1(spark, d), tgt(spark, d)), truth(spark, d))
+    k = {"name": (F.col("s1_name"), F.col("tgt_name")), "address": (F.col("s1_address"), F.col("tgt_address"))}
+    return audit.key_agreement(x, k).withColumns({c: F.round(c, 6) for c in k})
+
+
+@q("m31_validate_submission", CTE + "SELECT unnest(['duplicate_rows', 'null_ids', 'missing_rows', 'unknown_rows', 'duplicate_matches', 'malformed_ids', 'unknown_targets']) AS check, 0::BIGINT AS failures")
+def _(spark, d):
+    return decide.validate(decide.submission(universe(spark, d), decide.exclusive(scored(spark, d))), universe(spark, d), tgt(spark, d))
+
+
+# ---------------------------------------------------------------- decisions and learning
+@q("d2_resolve_claims", CTE + ", x AS (SELECT *, count(*) OVER (PARTITION BY target_id) AS n, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, s1_id) AS r FROM scored) SELECT s1_id, target_id FROM x WHERE n = 1 OR r = 1")
+def _(spark, d):
+    return decide.resolve_claims(scored(spark, d).withColumn("position", F.lit(1))).select("s1_id", "target_id")
+
+
+_CHOSEN = ", c AS (SELECT * FROM scored WHERE score >= 0.97)"
+
+
+@q("d3_d7_fill_empty", CTE + _CHOSEN + " SELECT s1_id, target_id FROM scored WHERE score >= 0.6 AND s1_id NOT IN (SELECT s1_id FROM c) AND target_id NOT IN (SELECT target_id FROM c) QUALIFY row_number() OVER (PARTITION BY s1_id, source ORDER BY score DESC, target_id) = 1")
+def _(spark, d):
+    s = scored(spark, d)
+    return decide.fill_empty(universe(spark, d), s.where("score >= 0.97"), s, 0.6).select("s1_id", "target_id")
+
+
+@q("d4_d6_d8_add_exclusive", CTE + ", c AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) = 1), n AS (SELECT * FROM scored WHERE score >= 0.5 AND target_id NOT IN (SELECT target_id FROM c) AND s1_id IN (SELECT s1_id FROM c) QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY score DESC, s1_id) = 1) SELECT s1_id, target_id FROM n WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) <= 2")
+def _(spark, d):
+    s = scored(spark, d)
+    return decide.add_exclusive(decide.top(s, 1), s, 0.5, 0.6, 2).select("s1_id", "target_id")
+
+
+@q("d9_d10_rule_thresholds", CTE + ", r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) - 1 AS rank, max(score) OVER (PARTITION BY s1_id) AS smax FROM scored QUALIFY rank < 20), k AS (SELECT * FROM r WHERE smax >= 0.6 AND (rank = 0 OR (score >= CASE WHEN source = 'S2' THEN 0.8 ELSE 0.9 END AND score >= 0.5 * smax))), c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) <= 3) SELECT s1_id, target_id FROM c QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY score DESC, s1_id) = 1")
+def _(spark, d):
+    return decide.rule_thresholds(decide.ranked(scored(spark, d)), 0.8, 0.9, 0.6, 0.5, 3, True).select("s1_id", "target_id")
+
+
+@q("d12_rule_expected", CTE + """, r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) - 1 AS rank, greatest(least(score, 1 - 1e-6), 1e-6) AS q FROM scored QUALIFY rank < 20), x AS (SELECT *, sum(q) OVER (PARTITION BY s1_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS sk, sum(q) OVER (PARTITION BY s1_id) AS sp, exp(sum(ln(1 - q)) OVER (PARTITION BY s1_id)) AS p0 FROM r),
+e AS (SELECT *, round(1.25 * sk / (0.25 * sp / greatest(1 - p0, 1e-9) + rank + 1), 9) AS e FROM x) SELECT s1_id, count(*) AS candidates, round(max(e), 6) AS best FROM e GROUP BY 1 HAVING max(e) > any_value(p0)""")
+def _(spark, d):
+    r = decide.ranked(scored(spark, d)).withColumn("prob", F.col("score"))
+    w, g = W.partitionBy("s1_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("s1_id")
+    kept = decide.rule_expected(r).select("s1_id").distinct()
+    p = F.greatest(F.least(F.col("prob"), F.lit(1 - 1e-6)), F.lit(1e-6))
+    x = r.withColumn("q", p).withColumns({"sk": F.sum("q").over(w), "sp": F.sum("q").over(g), "p0": F.exp(F.sum(F.log1p(-F.col("q"))).over(g))})
+    x = x.withColumn("e", 1.25 * F.col("sk") / (0.25 * F.col("sp") / F.greatest(1 - F.col("p0"), F.lit(1e-9)) + F.col("rank") + 1))
+    return x.join(kept, "s1_id", "left_semi").groupBy("s1_id").agg(F.count(F.lit(1)).alias("candidates"), F.round(F.max("e"), 6).alias("best"))
+
+
+@q("d16_score_of_fill", CTE + ", c AS (SELECT * FROM scored WHERE score >= 0.97), fill AS (SELECT * FROM scored WHERE score >= 0.6 AND s1_id NOT IN (SELECT s1_id FROM c) AND target_id NOT IN (SELECT target_id FROM c) QUALIFY row_number() OVER (PARTITION BY s1_id, source ORDER BY score DESC, target_id) = 1), chosen AS (SELECT s1_id, target_id FROM c UNION ALL SELECT s1_id, target_id FROM fill)" + COUNTS + SCORE)
+def _(spark, d):
+    s = scored(spark, d)
+    c = s.where("score >= 0.97")
+    return _score(spark, d, c.select("s1_id", "target_id").unionByName(decide.fill_empty(universe(spark, d), c, s, 0.6).select("s1_id", "target_id")))
+
+
+@q("l1_downsample", CTE + ", x AS (SELECT p.*, (t.s1_id IS NOT NULL)::INT AS label FROM pairs p LEFT JOIN truth t ON t.s1_id = p.s1_id AND t.target_id = p.target_id) SELECT s1_id, target_id, label FROM x WHERE label = 1 OR ('0x' || left(sha256(s1_id || '|' || target_id), 12))::BIGINT % 10 = 0")
+def _(spark, d):
+    return learn.downsample(linkage.label(pairs(spark, d), truth(spark, d)))
+
+
+@q("l2_l4_out_of_fold_scores")
+def _(spark, d):
+    got, _ = linkage.model_linkage(s1(spark, d), tgt(spark, d), truth(spark, d), ("E", "B"), trees=5, depth=3)
+    return got.select("s1_id", "target_id", "fold", "label", F.round("score", 6).alias("score"))
+
+
+@q("d11_calibration")
+def _(spark, d):
+    x = linkage.label(scored(spark, d), truth(spark, d))
+    return learn.apply_calibration(learn.calibrate(x), x).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
