@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-_best = (F.desc_nulls_last("score"), F.asc("target_id"))
+def _best():
+    return F.desc_nulls_last("score"), F.asc("target_id")
 
 
 def top(pairs: DataFrame, k: int, *extra: str) -> DataFrame:
     """The k best of each entity (and of each of its ``extra`` groups)."""
-    return pairs.withColumn("kd_r", F.row_number().over(W.partitionBy("s1_id", *extra).orderBy(*_best))).where(F.col("kd_r") <= k).drop("kd_r")
+    return pairs.withColumn("kd_r", F.row_number().over(W.partitionBy("s1_id", *extra).orderBy(*_best()))).where(F.col("kd_r") <= k).drop("kd_r")
 
 
 def exclusive(pairs: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def prune(pairs: DataFrame, least: float) -> DataFrame:
 def ranked(pairs: DataFrame, most: int = 20) -> DataFrame:
     """One row a pair (its best score), the best ``most`` of an entity, with ``rank`` from 0 and ``smax``."""
     one = pairs.groupBy("s1_id", "target_id").agg(F.max("score").alias("score"), F.first("source").alias("source"))
-    w = W.partitionBy("s1_id").orderBy(*_best)
+    w = W.partitionBy("s1_id").orderBy(*_best())
     x = one.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most)
     return x.withColumn("smax", F.max("score").over(W.partitionBy("s1_id")))
 
