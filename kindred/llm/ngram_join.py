@@ -3,8 +3,9 @@
 1. Each text becomes a set of shingle hashes; equal sets are one class (exact copies never meet
    pairwise).
 2. A global order puts shingles of many documents last. By the prefix principle two sets with
-   Jaccard >= t share one of their first ``n - ceil(t n) + 1`` shingles, so only those are dealt
-   out; shingles of one class alone drop out.
+   Jaccard >= t share l of their first ``n - ceil(t n) + l`` shingles, so only those are dealt out.
+   Shingles without another class of fitting size drop out, and so does a class that keeps fewer
+   than l: what shares a line or a passage with others but is not near to any goes here.
 3. Classes that share such a shingle form a block. Within it, sets are laid in a trie (shared
    runs of shingles are one path); a probe walks it once, keeps the overlap of a path for all that
    hang from it, and drops a subtree once the shingles that remain cannot reach the threshold.
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, settle, shingle_set, small_batches
@@ -32,6 +33,10 @@ from .common import components, discard, settle, shingle_set, small_batches
 PIECE = 256
 #: shingles kept in the table of common ones, which orders shingles and decides nothing else
 COMMON_ROWS = 1 << 17
+#: ranges of hashes that a sketch counts, a power of two
+SKETCH = 512
+#: share of its size that a class must have in shared shingles beyond the first, l = 1 + SPARE * n
+SPARE = 0.03
 #: bits of the filter for texts that need a second look; false hits only cost volume
 FILTER_BITS = 1 << 22
 
@@ -181,6 +186,35 @@ def _search(members: DataFrame, keys: list[str], num: int, den: int) -> DataFram
     return members.groupBy(*keys).applyInArrow(join, "comp long, into long")
 
 
+def _promising(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``members(tok, x, y, node, comp, side, sketch)`` those that have a partner of another component
+    which they may link with. A sketch counts the shingles of each of SKETCH ranges of hashes: the sum
+    of the smaller counts of two sketches is at least the overlap, so nothing that links is lost."""
+
+    def sift(table):
+        m = table.num_rows
+        comp, side = table.column("comp").to_numpy(), table.column("side").to_numpy()
+        rows = [np.frombuffer(x, np.uint16 if len(x) == 2 * SKETCH else np.uint32).astype(np.int32) for x in table.column("sketch").to_pylist()]
+        keep = np.zeros(m, bool)
+        if m > 1:
+            h = np.stack(rows)
+            n = h.sum(1)
+            two = len(set(side.tolist())) > 1
+            for i in range(m - 1):
+                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (den * np.minimum(n[i + 1 :], n[i]) >= num * np.maximum(n[i + 1 :], n[i]))) + i + 1
+                if two:
+                    j = j[side[j] != side[i]]
+                if len(j):
+                    most = np.minimum(h[j], h[i]).sum(1)
+                    good = j[(num + den) * most >= num * (n[j] + n[i])]
+                    if len(good):
+                        keep[i] = True
+                        keep[good] = True
+        return table.select(["tok", "x", "y", "node", "comp", "side"]).filter(pa.array(keep))
+
+    return members.groupBy("tok", "x", "y").applyInArrow(sift, "tok long, x int, y int, node long, comp long, side int")
+
+
 def _relabel(rows: DataFrame, moved: DataFrame) -> DataFrame:
     """``rows`` with ``comp`` replaced where ``moved`` says so."""
     return rows.join(moved, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
@@ -205,21 +239,24 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
                 s = shingle_set(t, k)
                 n.append(len(s))
                 key.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                pre.append(_ordered(s, hashes, rank)[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else [])
+                pre.append(_ordered(s, hashes, rank)[: len(s) - -(-num * len(s) // den) + 1 + int(SPARE * len(s))].view(np.int64) if len(s) else [])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "pre"])
 
     signed = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, node long, pre array<long>"))
     classes = signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("pre").alias("pre"))
-    dealt = classes.select("node", "n", F.explode("pre").alias("tok"))
-    shared = dealt.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    by_size = W.partitionBy("tok").orderBy("n", "node")
-    near = (
-        dealt.join(shared, "tok")
-        .withColumn("lo", F.lag("n").over(by_size)).withColumn("hi", F.lead("n").over(by_size))
-        .where(F.coalesce(F.col("lo") * den >= F.col("n") * num, F.lit(False)) | F.coalesce(F.col("n") * den >= F.col("hi") * num, F.lit(False)))
-        .select("tok", "node", "m")
-    )
-    rows = settle(near)
+    # core: within the prefix for one shared shingle; l more follow
+    core = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den)
+    band = F.floor(F.log("n") / float(np.log(den / num) * (1 + 1e-9) or 1)).cast("int")
+    dealt = classes.select("node", "n", F.posexplode("pre").alias("pos", "tok")).select("tok", "node", F.col("n").cast("int").alias("n"), core.alias("core"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)))
+    shared = dealt.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.bit_or(bit(band)).alias("bands")).where("m > 1")
+    # another class in a band next to its own, or some band with two
+    fits = (F.col("bands").bitwiseAND(bit(band - 1).bitwiseOR(bit(band + 1))) != 0) | (F.col("m") > F.bit_count("bands"))
+    near = dealt.join(shared, "tok").where(fits).select("tok", "node", "n", "core", "m")
+    near = settle(near)
+    enough = near.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.floor(F.col("n") * num / den) * SPARE)).select("node")
+    rows = settle(near.where("core").join(enough, "node", "left_semi").select("tok", "node", "m"))
+    discard(near)
     sets = settle(_sets(docs, rows, k))
 
     # First the largest block of each class: joins most of what belongs together. A class is in one
@@ -231,7 +268,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
 
     def meet(part: DataFrame) -> None:
         pieces = part.select("tok", F.pmod(F.xxhash64("node", F.lit(len(moved))), F.ceil(F.col("c") / PIECE)).alias("piece"), "node", "comp", F.lit(0).alias("side"))
-        moved.append(settle(_search(pieces.join(sets, "node"), ["tok", "piece"], num, den)))
+        moved.append(settle(_search(pieces.join(sets.select("node", "shingles"), "node"), ["tok", "piece"], num, den)))
 
     meet(placed)
     # Then one class of each component of a block of several pieces, so that its pieces meet.
@@ -253,19 +290,20 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     mine = left.join(open_, "tok").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("p")).cast("int"))
     mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     mine = mine.select("tok", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "comp", F.col("mine").alias("side"))
-    links = settle(_search(mine.join(sets, "node"), ["tok", "x", "y"], num, den))
+    hopeful = settle(_promising(mine.join(sets.select("node", "sketch"), "node"), num, den))
+    links = settle(_search(hopeful.join(sets.select("node", "shingles"), "node"), ["tok", "x", "y"], num, den))
     closed = components(links.select(F.col("comp").alias("a"), F.col("into").alias("b")))
 
     labelled = signed.select("doc_id", "n", "node", F.col("node").alias("comp"))
     for m in [*moved, closed.select(F.col("node").alias("comp"), F.col("comp").alias("into"))]:
         labelled = _relabel(labelled, m)
-    discard(rows, sets, placed, left, links)
+    discard(rows, sets, placed, left, hopeful, links)
     least = labelled.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """``node, shingles`` of the classes in ``rows``. Texts are read again; a bit filter of fixed
+    """``node, shingles, sketch`` of the classes in ``rows``. Texts are read again; a bit filter of fixed
     size keeps those of no such class out of the shuffle."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
@@ -277,9 +315,11 @@ def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     wanted = spark.sparkContext.broadcast(table)  # FILTER_BITS / 4 bytes
 
     def gather(batches):
-        table = wanted.value
+        table, seen = wanted.value, set()
         for b in batches:
-            key, data = [], []
+            key, data, sketch = [], [], []
+            if len(seen) > 200_000:
+                seen.clear()
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, k)
                 if not len(s):
@@ -287,13 +327,16 @@ def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 raw = s.tobytes()
                 node = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
                 at = _spark_slot(node)
-                if int(table[at // 32]) >> (at % 32) & 1:
+                if int(table[at // 32]) >> (at % 32) & 1 and node not in seen:
+                    seen.add(node)  # exact copies in this task need not be sent again
                     key.append(node)
                     data.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary())], names=["node", "shingles"])
+                    h = np.bincount((s >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH)
+                    sketch.append(h.astype(np.uint16 if h.max() < 65536 else np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary()), pa.array(sketch, pa.binary())], names=["node", "shingles", "sketch"])
 
-    found = docs.select("text").mapInArrow(gather, "node long, shingles binary")
-    return found.join(rows.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = docs.select("text").mapInArrow(gather, "node long, shingles binary, sketch binary")
+    return found.join(rows.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
 def _spark_slot(node: int) -> int:
