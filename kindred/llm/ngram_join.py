@@ -32,7 +32,7 @@ from .common import components, discard, settle, shingle_set, small_batches
 #: classes of a block in one task; larger blocks are searched piece against piece
 PIECE = 256
 #: shingles kept in the table of common ones, which orders shingles and decides nothing else
-COMMON_ROWS = 1 << 17
+COMMON_ROWS = 1 << 20
 #: ranges of hashes that a sketch counts, a power of two
 SKETCH = 512
 #: share of its size that a class must have in shared shingles beyond the first, l = 1 + SPARE * n
@@ -229,7 +229,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     docs = docs.select("doc_id", "text")
     by_count = _common(docs, k)
     by_hash = np.argsort(by_count)
-    common = spark.sparkContext.broadcast((by_count[by_hash], by_hash))  # at most 2 MB
+    common = spark.sparkContext.broadcast((by_count[by_hash], by_hash))  # at most 16 MB
 
     def sign(batches):
         hashes, rank = common.value
