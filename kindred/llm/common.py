@@ -6,8 +6,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: bits of the filter of ``sift``; false hits only cost volume
+SIFT_BITS = 1 << 25
+
+
+def bit_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """The values of ``slots(s)``, each below ``bits``, as a bit set of bits / 4 bytes."""
+    got = slots.groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("b")).toArrow()
+    table = np.zeros(bits // 32, np.uint64)
+    if got.num_rows:
+        table[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint64)
+    return table
+
+
+def sift(docs: DataFrame, keys: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose whole-number columns ``by`` may be among those of ``keys``, and rows
+    whose are surely not. What follows a join on few keys need not move the texts of the second."""
+    slot = F.pmod(F.xxhash64(*(F.col(c).cast("long") for c in by)), F.lit(SIFT_BITS))
+    held = docs.sparkSession.sparkContext.broadcast(bit_table(keys.select(slot.alias("s")), SIFT_BITS))  # SIFT_BITS / 4 bytes
+
+    @F.arrow_udf("boolean")
+    def among(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            at = b.to_numpy()
+            yield pa.array((held.value[at // 32] >> (at % 32).astype(np.uint64)) & np.uint64(1) == 1)
+
+    marked = docs.withColumn("__kindred_among", among(slot))
+    return marked.where("__kindred_among").select(*docs.columns), marked.where("not __kindred_among").select(*docs.columns)
+
+
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 

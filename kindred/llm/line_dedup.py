@@ -16,13 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, small_batches
+from .common import discard, settle, sift, small_batches
 
 WINDOW = 3
 
@@ -60,7 +59,7 @@ def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     rows = settle(_tag(docs).select("__kindred_id", "__kindred_hash", windows("text").alias("w")).where(F.size("w") > 0))
     flat = rows.select("__kindred_id", "__kindred_hash", F.posexplode("w").alias("pos", "h")).distinct()
     first = flat.groupBy("h").agg(F.min(F.struct("__kindred_id", "__kindred_hash", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = flat.join(first, "h").where(F.struct("__kindred_id", "__kindred_hash", "pos") > F.col("first"))
+    again = flat.join(first.hint("merge"), "h").where(F.struct("__kindred_id", "__kindred_hash", "pos") > F.col("first"))
     steps = F.array(*(F.lit(i) for i in range(size)))
     out = settle(
         again.groupBy("__kindred_id", "__kindred_hash").agg(F.collect_set("pos").alias("p"))  # at most the lines of one document
@@ -88,14 +87,16 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     drop = covered(docs, size)
     cols = docs.columns
-    joined = _tag(docs).join(drop, ["__kindred_id", "__kindred_hash"], "left")
+    key = ["__kindred_id", "__kindred_hash"]
+    few, rest = sift(_tag(docs), drop, *key)  # most texts lose nothing and stay where they are
+    joined = few.join(drop.hint("merge"), key, "left")
     # only rows that lose lines go through Python
     text = F.when(F.col("__kindred_drop").isNotNull(), rebuild("text", "__kindred_drop")).otherwise(F.col("text"))
     out = joined.withColumn("__kindred_text", text)
     put = {"text": F.col("__kindred_text")}
     if "n_chars" in cols:
         put["n_chars"] = F.when(F.col("__kindred_drop").isNotNull(), F.length("__kindred_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(put).select(*cols)
+    return out.withColumns(put).select(*cols).unionByName(rest.select(*cols))
 
 
 def removed_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:

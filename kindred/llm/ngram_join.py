@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, settle, shingle_set, small_batches
+from .common import bit_table, components, discard, settle, shingle_set, small_batches
 
 #: classes of a block in one task; larger blocks are searched piece against piece
 PIECE = 256
@@ -307,11 +307,7 @@ def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     size keeps those of no such class out of the shuffle."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    bits = rows.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("b"))
-    got = bits.toArrow()
-    table = np.zeros(FILTER_BITS // 32, np.uint64)
-    table[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint64)
-
+    table = bit_table(rows.select(slot.alias("s")), FILTER_BITS)
     wanted = spark.sparkContext.broadcast(table)  # FILTER_BITS / 4 bytes
 
     def gather(batches):
