@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import settle, sift, small_batches
 
 ORDER = 4
 ALPHABET = 48
@@ -57,8 +57,8 @@ def _codes(c: np.ndarray) -> np.ndarray:
 
 
 def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``g, n``: counts of 4-grams over the documents of ``trusted(doc_id)``. Texts travel to the join
-    as compressed classes."""
+    """``g, n``: counts of 4-grams over the documents of ``trusted(doc_id)``. Texts that may be trusted
+    travel to the join as compressed classes, the others not at all."""
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("binary")
@@ -81,8 +81,8 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         for i in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], names=["g", "n"])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), squeeze("text").alias("z"))
-    return packed.join(trusted, "doc_id", "left_semi").select("z").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    few, _ = sift(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted, "doc_id")
+    return few.select("doc_id", squeeze("text").alias("z")).join(trusted.hint("merge"), "doc_id", "left_semi").select("z").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     else:
         table = bits_table(probabilities(counts))
     scored = settle(perplexity(docs, table).withColumn("lang", F.coalesce("lang", F.lit(""))))
-    known = scored.where("bits is not null").join(trusted, "doc_id", "left_semi")
+    known = scored.where("bits is not null").join(trusted.hint("merge"), "doc_id", "left_semi")
     hist = known.groupBy("lang", "bits").agg(F.count(F.lit(1)).alias("n"))  # few rows: bits are whole thousandths
     hist = hist.unionByName(hist.groupBy("bits").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bits", "n"))
     up, all_ = W.partitionBy("lang").orderBy("bits"), W.partitionBy("lang")
@@ -170,6 +170,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     cut = settle(cut)  # a row a language
     every = cut.where("lang is null").select(F.col("cut").alias("every"))
     limits = scored.select("lang").distinct().join(cut, "lang", "left").join(every, F.lit(True), "left").select("lang", F.coalesce("cut", "every").alias("cut"))
-    out = scored.join(limits, "lang", "left")
+    # a written table: its size is known, so that the few rows it mostly has are broadcast and a hot language stays where it is
+    out = scored.join(settle(limits), "lang", "left")
     two = lambda c: F.round(F.pow(F.lit(2.0), F.col(c) / UNIT), 4)
     return out.select("doc_id", F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", two("bits").alias("perplexity"), two("cut").alias("threshold"), F.coalesce(F.col("bits").isNotNull() & (F.col("cut").isNull() | (F.col("bits") <= F.col("cut"))), F.lit(False)).alias("kept"))
