@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import decontam, line_dedup, ngram_join, packing, quality_rules
-from kindred.llm.common import shared_dir
+from kindred.llm.common import settle, shared_dir, sift
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group linked by five-word shingles at 0.8 or more, the document of the smallest
     doc_id stays; documents without words stay."""
     groups = ngram_join.ngram_jaccard_components(docs, k=5, num=80, den=100)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    some, rest = sift(docs, gone, "doc_id")  # the texts of the second move nowhere
+    return some.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
