@@ -417,3 +417,16 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "best_fit_packing"]
     rows = cp.run(spark, str(d)).collect()
     assert {r["doc_id"] for r in rows} == set(range(12))
+
+
+def test_sift_keeps_every_row_and_misses_no_key(spark):
+    from kindred.llm.common import sift
+
+    docs = spark.createDataFrame([(i % 50 if i else None, f"t{i}") for i in range(200)], "doc_id int, text string")
+    keys = spark.createDataFrame([(3,), (7,), (3,)], "doc_id long")
+    some, rest = sift(docs, keys, "doc_id")
+    held, others = {r[0] for r in some.collect()}, [r[0] for r in rest.collect()]
+    assert {3, 7} <= held and not {3, 7} & set(others)
+    assert some.count() + len(others) == 200
+    none, all_ = sift(docs, keys.where("false"), "doc_id")
+    assert none.count() == 0 and all_.count() == 200
