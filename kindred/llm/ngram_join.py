@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, discard, settle, shingle_set, small_batches
+from .common import bit_table, components, discard, settle, shingle_set, sift, small_batches
 
 #: classes of a block in one task; larger blocks are searched piece against piece
 PIECE = 256
@@ -35,6 +35,8 @@ PIECE = 256
 COMMON_ROWS = 1 << 20
 #: ranges of hashes that a sketch counts, a power of two
 SKETCH = 512
+#: blocks that a class names as its first; two classes are compared in the first that both name
+FIRSTS = 16
 #: share of its size that a class must have in shared shingles beyond the first, l = 1 + SPARE * n
 SPARE = 0.03
 #: bits of the filter for texts that need a second look; false hits only cost volume
@@ -187,26 +189,30 @@ def _search(members: DataFrame, keys: list[str], num: int, den: int) -> DataFram
 
 
 def _promising(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``members(tok, x, y, node, comp, side, sketch)`` those that have a partner of another component
-    which they may link with. A sketch counts the shingles of each of SKETCH ranges of hashes: the sum
-    of the smaller counts of two sketches is at least the overlap, so nothing that links is lost."""
+    """Of ``members(tok, x, y, node, comp, side, sketch, firsts)`` those that have a partner of another
+    component which they may link with. A sketch counts the shingles of each of SKETCH ranges of hashes:
+    the sum of the smaller counts of two sketches is at least the overlap, so nothing that links is lost.
+    Classes that both name an earlier block than this one among their first are compared there."""
 
     def sift(table):
         m = table.num_rows
         comp, side = table.column("comp").to_numpy(), table.column("side").to_numpy()
-        rows = [np.frombuffer(x, np.uint16 if len(x) == 2 * SKETCH else np.uint32).astype(np.int32) for x in table.column("sketch").to_pylist()]
         keep = np.zeros(m, bool)
         if m > 1:
-            h = np.stack(rows)
+            tok, across = table.column("tok")[0].as_py(), table.column("x")[0].as_py() != table.column("y")[0].as_py()
+            h = np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * SKETCH else np.uint32).astype(np.int32) for x in table.column("sketch").to_pylist()])
             n = h.sum(1)
-            two = len(set(side.tolist())) > 1
+            firsts = np.full((m, FIRSTS), tok)
+            for i, x in enumerate(table.column("firsts").to_pylist()):
+                firsts[i, : len(x)] = x
             for i in range(m - 1):
                 j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (den * np.minimum(n[i + 1 :], n[i]) >= num * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                if two:
+                if across:
                     j = j[side[j] != side[i]]
                 if len(j):
                     most = np.minimum(h[j], h[i]).sum(1)
                     good = j[(num + den) * most >= num * (n[j] + n[i])]
+                    good = good[~np.isin(firsts[good], firsts[i][firsts[i] < tok]).any(1)]
                     if len(good):
                         keep[i] = True
                         keep[good] = True
@@ -266,38 +272,46 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     placed = settle(home.join(size, "tok").withColumn("comp", F.col("node")))
     moved = []
 
-    def meet(part: DataFrame) -> None:
+    def meet(part: DataFrame, held: DataFrame) -> None:
         pieces = part.select("tok", F.pmod(F.xxhash64("node", F.lit(len(moved))), F.ceil(F.col("c") / PIECE)).alias("piece"), "node", "comp", F.lit(0).alias("side"))
-        moved.append(settle(_search(pieces.join(sets.select("node", "shingles"), "node"), ["tok", "piece"], num, den)))
+        moved.append(settle(_search(pieces.join(held.select("node", "shingles"), "node"), ["tok", "piece"], num, den)))
 
-    meet(placed)
+    meet(placed, sets)
     # Then one class of each component of a block of several pieces, so that its pieces meet.
     wide = placed.where(F.col("c") > PIECE)
     if not wide.isEmpty():
         tops = _relabel(wide, moved[0]).groupBy("tok", "comp").agg(F.min("node").alias("node"))
-        meet(tops.join(tops.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tok"))
+        tops = settle(tops.join(tops.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tok"))
+        meet(tops, sift(sets, tops, "node")[0])
+        discard(tops)
 
     # Last, in full, each block that still holds several components; equal blocks once. Piece goes
-    # against piece, so a block of any size is searched whole by tasks of bounded size.
+    # against piece, so a block of any size is searched whole by tasks of bounded size. Pieces of the
+    # main component of a block meet the others only: within it there is nothing to find.
     left = rows.withColumn("comp", F.col("node"))
     for m in moved:
         left = _relabel(left, m)
     left = settle(left)
     open_ = (
-        left.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
-        .where("lo <> hi").groupBy("c", "s", "lo", "hi").agg(F.min("tok").alias("tok")).select("tok", F.ceil(F.col("c") / PIECE).cast("int").alias("p"))
+        left.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+        .groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+        .where("lo <> hi").groupBy("c", "s", "lo", "hi", "top").agg(F.min("tok").alias("tok"))
+        .select("tok", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / PIECE).cast("int").alias("p"), F.ceil((F.col("c") - F.col("top.c")) / PIECE).cast("int").alias("q"))
     )
-    mine = left.join(open_, "tok").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("p")).cast("int"))
-    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    mine = mine.select("tok", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "comp", F.col("mine").alias("side"))
-    hopeful = settle(_promising(mine.join(sets.select("node", "sketch"), "node"), num, den))
-    links = settle(_search(hopeful.join(sets.select("node", "shingles"), "node"), ["tok", "x", "y"], num, den))
+    in_main = F.col("comp") == F.col("main")
+    mine = settle(left.join(open_, "tok").withColumn("mine", F.when(in_main, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).cast("int")))
+    # a class is in no more blocks than its own prefix has shingles
+    firsts = mine.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRSTS).alias("firsts"))
+    spread = mine.withColumn("other", F.explode(F.sequence(F.when(in_main, F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)))
+    spread = spread.select("tok", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "comp", F.col("mine").alias("side"))
+    hopeful = settle(_promising(spread.join(sets.select("node", "sketch").join(firsts, "node"), "node"), num, den))
+    links = settle(_search(hopeful.join(sift(sets, hopeful, "node")[0].select("node", "shingles"), "node"), ["tok", "x", "y"], num, den))
     closed = components(links.select(F.col("comp").alias("a"), F.col("into").alias("b")))
 
     labelled = signed.select("doc_id", "n", "node", F.col("node").alias("comp"))
     for m in [*moved, closed.select(F.col("node").alias("comp"), F.col("comp").alias("into"))]:
         labelled = _relabel(labelled, m)
-    discard(rows, sets, placed, left, hopeful, links)
+    discard(rows, sets, placed, left, mine, hopeful, links)
     least = labelled.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
