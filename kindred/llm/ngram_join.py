@@ -263,26 +263,27 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     enough = near.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.floor(F.col("n") * num / den) * SPARE)).select("node")
     rows = settle(near.where("core").join(enough, "node", "left_semi").select("tok", "node", "m"))
     discard(near)
-    sets = settle(_sets(docs, rows, k))
 
     # First the largest block of each class: joins most of what belongs together. A class is in one
     # piece of one block, so what a piece finds needs no closing over pieces.
     home = rows.groupBy("node").agg(F.max(F.struct("m", "tok")).alias("x")).select("node", F.col("x.tok").alias("tok"))
     size = home.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     placed = settle(home.join(size, "tok").withColumn("comp", F.col("node")))
+    # sets bring their block along, so that they need not move once more to meet it
+    sets = settle(_sets(docs, rows.select("node").distinct().join(placed, "node", "left"), k))
     moved = []
 
-    def meet(part: DataFrame, held: DataFrame) -> None:
-        pieces = part.select("tok", F.pmod(F.xxhash64("node", F.lit(len(moved))), F.ceil(F.col("c") / PIECE)).alias("piece"), "node", "comp", F.lit(0).alias("side"))
-        moved.append(settle(_search(pieces.join(held.select("node", "shingles"), "node"), ["tok", "piece"], num, den)))
+    def meet(part: DataFrame) -> None:
+        piece = F.pmod(F.xxhash64("node", F.lit(len(moved))), F.ceil(F.col("c") / PIECE)).alias("piece")
+        moved.append(settle(_search(part.select("tok", piece, "node", "comp", F.lit(0).alias("side"), "shingles"), ["tok", "piece"], num, den)))
 
-    meet(placed, sets)
+    meet(sets.where("tok is not null"))
     # Then one class of each component of a block of several pieces, so that its pieces meet.
     wide = placed.where(F.col("c") > PIECE)
     if not wide.isEmpty():
         tops = _relabel(wide, moved[0]).groupBy("tok", "comp").agg(F.min("node").alias("node"))
         tops = settle(tops.join(tops.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tok"))
-        meet(tops, sift(sets, tops, "node")[0])
+        meet(tops.join(sift(sets, tops, "node")[0].select("node", "shingles"), "node"))
         discard(tops)
 
     # Last, in full, each block that still holds several components; equal blocks once. Piece goes
@@ -316,12 +317,12 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     return labelled.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """``node, shingles, sketch`` of the classes in ``rows``. Texts are read again; a bit filter of fixed
+def _sets(docs: DataFrame, homes: DataFrame, k: int) -> DataFrame:
+    """``node, shingles, sketch`` of the classes in ``homes(node, tok, c, comp)``, and what it says of them. Texts are read again; a bit filter of fixed
     size keeps those of no such class out of the shuffle."""
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    table = bit_table(rows.select(slot.alias("s")), FILTER_BITS)
+    table = bit_table(homes.select(slot.alias("s")), FILTER_BITS)
     wanted = spark.sparkContext.broadcast(table)  # FILTER_BITS / 4 bytes
 
     def gather(batches):
@@ -346,7 +347,7 @@ def _sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary()), pa.array(sketch, pa.binary())], names=["node", "shingles", "sketch"])
 
     found = docs.select("text").mapInArrow(gather, "node long, shingles binary, sketch binary")
-    return found.join(rows.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    return found.join(homes, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("shingles", "sketch", "tok", "c", "comp")))
 
 
 def _spark_slot(node: int) -> int:
