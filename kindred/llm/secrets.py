@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 6000
 
 _BODY = "A-Za-z0-9+/_=-"
-#: a run of 16 or more that holds a digit
-CANDIDATE = rf"(?<![{_BODY}])(?=[A-Za-z+/_=-]*[0-9])[{_BODY}]{{16,}}"
-CONTEXT = rf"(?:\S{{1,40}}\s+(?:[=:]\s+)?)?[^\s{_BODY}]{{0,8}}{CANDIDATE}"
+#: shortest secret
+LEAST = 12
+CANDIDATE = rf"(?<![{_BODY}])[{_BODY}]{{{LEAST},}}"
+#: what stands before a candidate, at the end of a text
+CONTEXT = rf"(?:\S{{1,40}}\s+(?:[=:]\s+)?)?[^\s{_BODY}]{{0,8}}\z"
+#: characters before a candidate in which its context is looked for
+WINDOW = 128
 #: words of ordinary names and fillers (fixed values)
 DICTIONARY = ("example", "sample", "dummy", "test", "demo", "placeholder", "changeme", "version", "release", "build", "file", "page", "image", "index", "user", "name", "the", "and", "ing", "tion", "ment", "xxxx", "0000", "1234")
 SECRET_WORDS = "(?i)(key|token|secret|passw|pwd|auth|credential|bearer|api|private)"
@@ -32,9 +36,14 @@ FEATURES = ("size", "digits", "upper", "lower", "changes", "distinct_chars", "he
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, before, secret``: each distinct candidate of a text with what precedes it."""
+    """``doc_id, before, secret``: each distinct candidate of a text with what precedes it. Texts are
+    split at candidates, so one may be the word before the next and is found all the same."""
     found = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE))
-    found = found.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CONTEXT), F.lit(0)))).alias("kd_span"))
+    found = found.select("doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("kd_runs"), F.split("text", CANDIDATE, -1).alias("kd_gaps"))
+    ahead = F.concat(F.array(F.lit("")), "kd_runs")
+    found = found.select("doc_id", F.explode(F.arrays_zip("kd_runs", ahead.alias("kd_ahead"), "kd_gaps")).alias("kd"))
+    found = found.select("doc_id", F.col("kd.kd_runs").alias("kd_run"), F.concat(F.right("kd.kd_ahead", F.lit(40)), F.right("kd.kd_gaps", F.lit(WINDOW))).alias("kd_gap")).where("kd_run is not null")
+    found = found.select("doc_id", F.concat(F.regexp_extract("kd_gap", CONTEXT, 0), "kd_run").alias("kd_span"))
     return split_span(found, "doc_id").dropDuplicates(["doc_id", "before", "secret"])
 
 
@@ -45,7 +54,7 @@ def split_span(spans: DataFrame, *keep: str) -> DataFrame:
     named = F.regexp_extract("kd_run", r"\A([A-Za-z_-]+=)(?=[^=])", 1)
     span = span.withColumn("secret", F.regexp_replace("kd_run", r"\A[A-Za-z_-]+=(?=[^=])", ""))
     before = F.concat(F.expr("substring(kd_span, 1, length(kd_span) - length(kd_run))"), named)
-    return span.select(*keep, F.trim(before).alias("before"), "secret").where(F.length("secret") >= 12)
+    return span.select(*keep, F.trim(before).alias("before"), "secret").where(F.length("secret") >= LEAST)
 
 
 def featurise(found: DataFrame) -> DataFrame:
@@ -72,6 +81,9 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     h = F.sha2(F.concat(F.lit("finding/"), i.cast("string")), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "[+/]", "Q")
     upper = F.upper(F.translate(F.substring(F.base64(F.unhex(F.reverse(h))), 1, 16), "+/=", "XYZ"))
+    low = F.translate(h, "0123456789", "ghijklmnop")
+    mixed = F.translate(b64, "0123456789", "qWxYzRtVbN")
+    word = F.concat(*(F.element_at(F.array(*map(F.lit, ("re", "con", "ver", "sta", "mi", "lo", "tra", "be", "ung", "ous", "der", "pre"))), F.pmod(F.xxhash64(i, F.lit(k)), F.lit(12)).cast("int") + 1) for k in range(6)))
     kinds = [  # before, secret, label
         (F.lit('token = "'), F.substring(h, 1, 40), 1), (F.lit("password="), F.substring(h, 1, 18), 1), (F.lit("api_key:"), F.substring(b64, 1, 32), 1), (F.lit("secret ="), F.substring(b64, 5, 40), 1),
         (F.lit(""), F.concat(F.lit("AKIA"), upper), 1), (F.lit("the"), F.concat(F.lit("AKIA"), upper), 1), (F.lit("Bearer"), F.substring(b64, 2, 44), 1), (F.lit("auth_token="), F.substring(b64, 1, 24), 1),
@@ -80,6 +92,11 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         (F.lit("key"), F.concat(F.lit("example_key_"), F.substring(h, 1, 4)), 0), (F.lit("token ="), F.lit("xxxxxxxxxxxxxxxx1234"), 0), (F.lit("in"), F.concat(F.lit("release-version-"), F.substring(h, 1, 3)), 0),
         (F.lit("see"), F.concat(F.lit("images/page/file"), F.substring(h, 1, 2)), 0), (F.lit("uuid"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 12)), 0),
         (F.lit("and"), F.concat(F.lit("thetionmentingand"), F.substring(h, 1, 1), F.lit("2")), 0), (F.lit("id"), F.translate(F.substring(h, 3, 20), "abcdef", "345678"), 0),
+        # without a digit
+        (F.lit(""), F.concat(F.lit("AKIA"), F.upper(F.substring(low, 1, 16))), 1), (F.lit("key"), F.concat(F.lit("ASIA"), F.upper(F.substring(low, 9, 16))), 1), (F.lit("password="), F.substring(mixed, 3, 16), 1), (F.lit("secret ="), F.substring(mixed, 7, 28), 1),
+        (F.lit("the"), word, 0), (F.lit("der"), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 40)), 0), (F.lit(""), F.upper(word), 0), (F.lit("key"), word, 0), (F.lit("token:"), word, 0),
+        (F.lit("a"), F.concat(F.substring(word, 1, 7), F.lit("-"), F.substring(word, 4, 9)), 0), (F.lit("in"), F.concat_ws("_", F.substring(word, 1, 5), F.lit("key"), F.substring(word, 6, 6)), 0),
+        (F.lit("see"), F.concat(F.lit("/"), F.substring(word, 1, 5), F.lit("/"), F.substring(word, 6, 7), F.lit("/")), 0), (F.lit(""), F.repeat(F.element_at(F.array(*map(F.lit, "-=_")), F.pmod(F.xxhash64(i), F.lit(3)).cast("int") + 1), F.lit(12) + F.pmod(i, F.lit(7)).cast("int")), 0),
     ]
     pick = F.pmod(i, F.lit(len(kinds)))
     before, secret, label = F.lit(""), F.lit(""), F.lit(0)
