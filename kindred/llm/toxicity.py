@@ -2,8 +2,8 @@
 
 1. A character language model: 4-gram counts over the letters of every document, summed task by
    task into at most 32^4 cells.
-2. Suspect spans (letters mixed with digits or signs, single letters set apart, letters repeated
-   three times or more) become a lattice of the letters each sign may stand for; separators may be
+2. Suspect spans (letters mixed with digits or signs in any place, single letters and signs set
+   apart by up to three separators, doubled letters) become a lattice of the letters each sign may stand for; separators may be
    dropped and repeats collapsed. Viterbi picks the likeliest reading under the model.
 3. The restored text is scored by words and word beginnings whose share of toxic documents was
    learnt from labels; the evidence of a text is combined by noisy-or.
@@ -51,49 +51,21 @@ _INNER[0x80:0xC0] = True  # bytes that continue a code point
 #: what a sign may stand for (fixed values)
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t"}
 _SIGNS = "0-9@$!|+"
+#: letters mixed with signs in any place; single letters and signs set apart, a letter among them;
+#: a letter doubled
 _SUSPECT = re.compile(
-    rf"(?<![a-z{_SIGNS}])(?:[a-z]+[{_SIGNS}]+(?=[a-z])|[{_SIGNS}]{{1,2}}(?=[a-z](?:[a-z]|[{_SIGNS}]+[a-z]))|[a-z]{{2,}}[{_SIGNS}](?![a-z{_SIGNS}]))[a-z{_SIGNS}]*"
-    r"|(?<![^\W_])[a-z](?:[ ._*-]{1,2}[a-z]){3,}(?![^\W_])"
-    r"|[a-z]*([a-z])\1\1[a-z]*"
+    rf"(?<![a-z{_SIGNS}])(?=[{_SIGNS}]*[a-z])(?=[a-z]*[{_SIGNS}])[a-z{_SIGNS}]{{3,}}"
+    rf"|(?<![^\W_])(?<![{_SIGNS}])(?=[{_SIGNS} ._*-]*[a-z])[a-z{_SIGNS}](?:[ ._*-]{{1,3}}[a-z{_SIGNS}]){{3,}}(?![^\W_]|[{_SIGNS}])"
+    rf"|(?<![a-z{_SIGNS}])[a-z]*([a-z])\1[a-z]*"
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER, _SIGN, _GAP = (np.zeros(256, bool) for _ in range(3))
-_LETTER[ord("a") : ord("z") + 1] = True
-_SIGN[list(b"0123456789@$!|+")] = True
-_GAP[list(b" ._*-")] = True
+#: readings that a task keeps, at most; more are worked out again
+_KEPT = 200_000
 
 
 def suspects(low: str) -> set[str]:
-    """Distinct suspect spans of a lower-cased text. The pattern runs only on the stretches between
-    white space in which letters meet signs, repeat, or stand alone."""
-    b = np.frombuffer(low.encode("ascii", "replace"), np.uint8)
-    if len(b) < 5:
-        return {m[0] for m in _SUSPECT.finditer(low)}
-    letter, sign, gap = _LETTER[b], _SIGN[b], _GAP[b]
-    hit = np.zeros(len(b), bool)
-    hit[1:] = letter[1:] & sign[:-1]
-    hit[:-1] |= letter[:-1] & sign[1:]
-    hit[2:] |= letter[2:] & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])
-    alone = letter & ~np.concatenate([[False], letter[:-1]]) & ~np.concatenate([letter[1:], [False]])
-    # a single letter, with others one or two gap characters away on both sides
-    apart = np.concatenate([[False], gap[:-1]]) & np.concatenate([gap[1:], [False]])
-    single = alone & apart
-    near = single[:-2] & single[2:]
-    hit[1:-1] |= near
-    far = single[:-3] & single[3:] & gap[1:-2] & gap[2:-1]
-    hit[1:-2] |= far
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return set()
-    # stretches reach back to the white space before and on to that after, over single letters
-    space = np.flatnonzero(~(letter | sign | gap) | (gap & ~(np.concatenate([[False], single[:-1]]) | np.concatenate([single[1:], [False]]))))
-    space = np.concatenate([[0], space, [len(low)]])
-    k = np.searchsorted(space, at, "right")
-    start, end = space[k - 1], space[np.minimum(k, len(space) - 1)]
-    out = set()
-    for lo, hi in sorted(set(zip(start.tolist(), end.tolist()))):
-        out.update(m[0] for m in _SUSPECT.finditer(low, max(0, lo - 3), min(len(low), hi + 3)))
-    return out
+    """Distinct suspect spans of a lower-cased text."""
+    return {m[0] for m in _SUSPECT.finditer(low)}
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
@@ -128,6 +100,7 @@ class CharModel:
             total = c.sum(-1, keepdims=True)
             p = (c + 4.0 * p) / (total + 4.0)
         self.log = np.log(p).astype(np.float32)
+        self.read: dict[str, list[str]] = {}
 
     def decode(self, span: str) -> str:
         """The likeliest reading of a suspect span, by Viterbi over the last three letters."""
@@ -163,7 +136,15 @@ class CharModel:
 
     def restored(self, low: str) -> list[str]:
         """Readings of the suspect spans of a lower-cased text."""
-        return [w for x in suspects(low) for w in self.decode(x).split()]
+        out = []
+        for x in suspects(low):
+            words = self.read.get(x)
+            if words is None:
+                words = self.decode(x).split()
+                if len(self.read) < _KEPT:
+                    self.read[x] = words
+            out += words
+        return out
 
 
 def features(text: str | None, model: CharModel) -> set[str]:

@@ -344,6 +344,21 @@ def test_suspects_are_all_matches_of_the_pattern():
         assert toxicity.suspects(s) == {m[0] for m in toxicity._SUSPECT.finditer(s)}, s
 
 
+def test_mixed_disguises_are_suspects_and_read():
+    plain = "idiot trash moron clown loser stupid scumm bad".split()
+    counts = np.zeros(toxicity._SYMBOLS**4)
+    for w in plain:
+        c = [0, 0, 0, *(ord(x) - 96 for x in w), 0]
+        for i in range(len(c) - 3):
+            counts[((c[i] * 32 + c[i + 1]) * 32 + c[i + 2]) * 32 + c[i + 3]] += 50
+    model = toxicity.CharModel(counts)
+    for span, word in {"i d 1 0 t": "idiot", "t r 4 s h": "trash", "m 0 r 0 n": "moron", "c l 0 w n": "clown", "1d107": "idiot", "1053r": "loser", "stuupid": "stupid", "sccumm": "scumm",
+                       "s   t   u   p   i   d": "stupid", "l-0-s-e-r": "loser", "s.t.u.p.1.d": "stupid", "st00pid": None}.items():
+        assert toxicity.suspects(f"you {span}, the end") == {span}, span
+        assert word is None or word in model.restored(f"you {span}, the end"), (span, model.restored(f"you {span}, the end"))
+    assert toxicity.suspects("on 12 of 2024 at 1 2 3 4 5") == set()
+
+
 def test_kneser_ney_against_brute_force(spark):
     texts = ["the cat sat on the mat.", "the rat ate, the cat!", "on the mat the cat sat é 12"]
     docs = _docs(spark, texts)
