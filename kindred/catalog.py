@@ -303,7 +303,7 @@ def _(spark, d):
 
 @q("j25_tfidf_char3")
 def _(spark, d):
-    return retrieval.tfidf_top_k(s1(spark, d), tgt(spark, d), retrieval.char_ngrams(F.lower("name")), 5, 0.01, 2)
+    return retrieval.tfidf_top_k(s1(spark, d), tgt(spark, d), retrieval.char_ngrams(F.lower("name")), 5, 1.0, 2, blocked=True)
 
 
 @q("j26_j28_labels_and_folds", CTE + "SELECT s1_id, target_id, (s1_id, target_id) IN (SELECT (s1_id, target_id) FROM truth) AS label FROM pairs")

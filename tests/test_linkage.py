@@ -91,6 +91,17 @@ def test_tfidf_of_equal_texts_is_one(spark):
     assert {(r["s1_id"], r["target_id"], r["score"]) for r in got} == {("S1-1", "S2-1", 1.0), ("S1-2", "S2-2", 1.0)}
 
 
+def test_char3_keeps_common_trigrams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    texts = [f"common name {'abcdefghij'[i % 10]}{'klm'[i % 3]} ltd\n{i} road" for i in range(40)]
+    rows = [(i, t, "en" if i % 4 else "fr", "abcd" if i % 2 else "abc", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["s1_id"], r["target_id"], r["rank"]): r["score"] for r in catalog.queries()["j25_tfidf_char3"](spark, str(tmp_path)).collect()}
+    a, b = catalog.s1(spark, str(tmp_path)), catalog.tgt(spark, str(tmp_path))
+    want = {(r["s1_id"], r["target_id"], r["rank"]): r["score"] for r in retrieval.tfidf_top_k(a, b, retrieval.char_ngrams(F.lower("name")), 5, 1.0, 2).collect()}
+    assert len(got) == 200 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got)
+
+
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("S1-1", "A", None, "US"), ("S1-2", "NA", "x", "IN")], tables.ENTITY)
     tables.write_tsv(df, str(tmp_path / "t"), single=True)
