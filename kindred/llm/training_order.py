@@ -5,7 +5,8 @@ global sort (counts by salted bucket, then ranks within buckets), and a keyed Fe
 the smallest even-bit domain that holds n, walked along its cycles until it falls below n, maps
 each number to its slot: a bijection that any task computes for itself. Range partitions of slots
 then become shards of equal stride: slot s lies in shard ``s div per_shard`` at byte
-``(s mod per_shard) * stride``, so a reader resumes at any slot by one seek.
+``(s mod per_shard) * stride`` of a flat file. ``write_shards`` writes Parquet by shard instead, where a
+reader resumes by shard and slot, not by one seek; ``digest`` writes no shards.
 
 Defined results: a null or empty text is one sequence of the end id; repeated rows are numbered as
 often as they come; an empty table gives no rows; a short sequence is padded with PAD to the stride
