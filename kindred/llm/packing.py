@@ -3,11 +3,12 @@
 Documents become token ids, then an end id; only those over the capacity are cut. Packing depends
 on lengths alone, so the plan is made on the histogram of piece lengths (at most ``capacity`` rows,
 whatever the input): the configuration LP "cover every length as often as it occurs by the fewest
-patterns" is solved by multiplicative weights, a knapsack dynamic program pricing the best pattern
-at each step; the solution is rounded down to whole patterns, and what remains is filled largest
-first with the best-fitting lengths left (again by dynamic programming over the histogram).
+patterns" is solved by multiplicative weights, a knapsack dynamic program pricing all patterns in
+each round; the solution is rounded to whole patterns, what rounding leaves is solved and rounded
+again, and the last RESIDUE of all ids is filled largest first with the best-fitting lengths left.
 Pieces then find their places by arithmetic on their rank among pieces of their length; ranks are
-taken in salted buckets, so a length that a third of all pieces share is dealt over many tasks.
+taken in salted buckets of about BUCKET_ROWS, so a length that a third of all pieces share is dealt
+over many tasks. ``by_lp`` says of each piece whether the linear program placed it.
 
 Defined results: a null or empty text has only its end id; repeated rows are packed as often as
 they come; an empty table gives no rows.
@@ -15,22 +16,35 @@ they come; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, settle, small_batches
+from .common import settle, small_batches
 from .encode import DEFAULT_TOKENIZER, encoder
 
 CAPACITY = 2048
-#: rounds of multiplicative weights
-ROUNDS = 100
-#: salted buckets for ranking the pieces of one length
-BUCKETS = 64
+#: rounds of multiplicative weights in one solution
+ROUNDS = 30
+#: how fast the weight of a length falls as it is covered
+RATE = 2.0
+#: patterns priced within this share of the best one are taken too
+SLACK = 0.05
+#: random share of a price that breaks ties between patterns
+JITTER = 0.02
+#: powers of its length that a piece is priced by before any weight falls; the material bound prices by
+#: the first power, long pieces that leave short ones no room by a higher one
+PRIORS = (1.02, 1.1, 1.5)
+#: share of all ids that may be left to the filler
+RESIDUE = 0.015
+#: pieces of one length that are ranked together, about
+BUCKET_ROWS = 1 << 18
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -62,26 +76,79 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_T
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + (", ids binary" if payload else ""))
 
 
-def _best_pattern(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """Unbounded knapsack: the multiset of lengths within capacity of the greatest value."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def _priced(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over ``lengths`` (ascending): the greatest value of each capacity up to
+    ``capacity``, and the length index that its best multiset takes last (-1: none, a place stays free)."""
+    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        if n:
-            v = best[c - lengths[:n]] + value[:n]
+        best[c] = best[c - 1]
+        if fits[c]:
+            v = best[c - lengths[: fits[c]]] + value[: fits[c]]
             i = int(v.argmax())
-            if v[i] > best[c - 1]:
+            if v[i] > best[c]:
                 best[c], took[c] = v[i], i
+    return best, took
+
+
+def _traced(took: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
+    """The multiset of length indexes behind ``_priced`` at one capacity."""
+    pattern = Counter()
+    while capacity > 0:
+        i = int(took[capacity])
+        if i >= 0:
+            pattern[i] += 1
+        capacity -= int(lengths[i]) if i >= 0 else 1
+    return pattern
+
+
+def configuration_lp(demand: np.ndarray, lengths: np.ndarray, capacity: int, rounds: int = ROUNDS, prior: float = PRIORS[0]) -> dict[tuple, float]:
+    """Fractional copies of patterns ``((length index, times), ...)`` that cover the demand.
+
+    Multiplicative weights: a length's price is its weight over its demand, and its weight falls with
+    the share of its demand that is covered, from a power ``prior`` of the length on.
+    Each round prices all patterns by one knapsack table. Every length whose best pattern comes
+    within SLACK of the best of all gives that pattern a step, as long as no length is covered more
+    than once in the round.
+    """
+    draw = np.random.default_rng(1)
+    covered, used = np.zeros(len(lengths)), Counter()
+    for _ in range(rounds):
+        price = (lengths / capacity) ** prior * np.exp(-RATE * covered) * (1 + JITTER * draw.random(len(lengths)))
+        best, took = _priced(price, lengths, capacity)
+        near = np.flatnonzero(price + best[capacity - lengths] >= (1 - SLACK) * best[capacity])
+        fresh = np.zeros(len(lengths))
+        for i in near[np.lexsort((-lengths[near], covered[near]))]:
+            if fresh[i] >= 1:
                 continue
-        best[c] = best[c - 1]
-    pattern, c = Counter(), capacity
-    while c > 0:
-        if took[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-        else:
-            pattern[int(took[c])] += 1
-            c -= int(lengths[took[c]])
-    return float(best[capacity]), pattern
+            pattern = _traced(took, lengths, capacity - int(lengths[i]))
+            pattern[int(i)] += 1
+            step = min((1 - fresh[j]) * demand[j] / k for j, k in pattern.items())
+            if step > 1e-9:
+                used[tuple(sorted(pattern.items()))] += step
+                for j, k in pattern.items():
+                    fresh[j] += k * step / demand[j]
+        covered += fresh
+        if covered.min() >= 1:
+            break
+    return used
+
+
+def _rounded(solution: dict[tuple, float], left: np.ndarray) -> Counter:
+    """Whole copies: the floor, and one more wherever the sum of the fractions passes a half; never
+    more than what is ``left``, which shrinks by what is taken."""
+    out, carry = Counter(), 0.0
+    for pattern, x in sorted(solution.items(), key=lambda kv: (-kv[1], kv[0])):
+        copies = int(x)
+        carry += x - copies
+        if carry >= 0.5:
+            copies, carry = copies + 1, carry - 1
+        copies = min(copies, *(int(left[i]) // k for i, k in pattern))
+        if copies > 0:
+            out[pattern] += copies
+            for i, k in pattern:
+                left[i] -= k * copies
+    return out
 
 
 def _fill(left: np.ndarray, lengths: np.ndarray, capacity: int, first: int) -> Counter:
@@ -103,100 +170,110 @@ def _fill(left: np.ndarray, lengths: np.ndarray, capacity: int, first: int) -> C
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns as ``({length: times}, copies)``; together they hold each length exactly as often as
-    the histogram has it."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int, bool]]:
+    """Patterns as ``({length: times}, copies, by_lp)``; together they hold each length exactly as
+    often as the histogram has it. ``by_lp`` is false for what the linear program left over. The
+    priors are tried until a plan comes within a thousandth of the least that the total allows; the
+    plan of the fewest sequences is taken."""
     whole = histogram.get(capacity, 0)
-    out = [({capacity: 1}, whole)] if whole else []
+    out = [({capacity: 1}, whole, True)] if whole else []  # no other pattern holds it
     items = sorted((n, c) for n, c in histogram.items() if n < capacity and c > 0)
     if not items:
         return out
-    lengths, left = np.array([n for n, _ in items]), np.array([c for _, c in items], np.int64)
-    demand = left.astype(float)
-    # multiplicative weights for covering: each round prices the lengths by weight / demand and
-    # takes the best pattern as far as its scarcest length allows
-    weight, used = np.ones(len(items)), Counter()
-    for _ in range(rounds):
-        _, pattern = _best_pattern(weight / demand, lengths, capacity)
-        key = tuple(sorted(pattern.items()))
-        step = min(demand[i] / k for i, k in key)
-        used[key] += step
-        for i, k in key:
-            weight[i] *= (1 - 0.5 * min(1.0, k * step / demand[i]))
-        weight /= weight.max()
-    covered = np.zeros(len(items))
-    for key, x in used.items():
-        for i, k in key:
-            covered[i] += k * x
-    scale = 1 / max(1e-9, float(np.quantile(covered / demand, 0.5)))
-    for key, x in used.most_common():
-        copies = min([int(x * scale), *(int(left[i]) // k for i, k in key)])
-        if copies > 0:
-            out.append(({int(lengths[i]): k for i, k in key}, copies))
-            for i, k in key:
-                left[i] -= k * copies
-    for first in range(len(items) - 1, -1, -1):
+    lengths, demand = np.array([n for n, _ in items]), np.array([c for _, c in items], np.int64)
+    least, best, size = -(-int((lengths * demand).sum()) // capacity), [], None
+    for prior in PRIORS:
+        parts = _planned(lengths, demand.copy(), capacity, rounds, prior)
+        n = sum(copies for _, copies, _ in parts)
+        if size is None or n < size:
+            best, size = parts, n
+        if size <= least + least // 1000:
+            break
+    return out + best
+
+
+def _planned(lengths: np.ndarray, left: np.ndarray, capacity: int, rounds: int, prior: float) -> list[tuple[dict[int, int], int, bool]]:
+    out, total = [], int((lengths * left).sum())
+    rest = total
+    # solve, round, and solve anew for what rounding left, until that is little or no longer shrinks
+    while rest > RESIDUE * total:
+        at = np.flatnonzero(left)
+        some = left[at]
+        taken = _rounded(configuration_lp(some.astype(float), lengths[at], capacity, rounds, prior), some)
+        out += [({int(lengths[at[i]]): k for i, k in pattern}, copies, True) for pattern, copies in taken.items()]
+        left[at] = some
+        was, rest = rest, int((lengths * left).sum())
+        if rest > 0.9 * was:
+            break
+    for first in range(len(lengths) - 1, -1, -1):
         while left[first] > 0:
             pattern = _fill(left, lengths, capacity, first)
             copies = min(int(left[i]) // k for i, k in pattern.items())
-            out.append(({int(lengths[i]): k for i, k in pattern.items()}, copies))
+            out.append(({int(lengths[i]): k for i, k in pattern.items()}, copies, False))
             for i, k in pattern.items():
                 left[i] -= k * copies
     return out
 
 
-def _places(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int]]:
-    """``length, from rank, to rank (exclusive), sequence of the first, offset`` of every place."""
-    rank, sequence, rows = Counter(), 0, []
-    for pattern, copies in patterns:
+def _places(patterns: list[tuple[dict[int, int], int, bool]]) -> dict[int, list[tuple]]:
+    """length -> ``(from rank, sequence of the first copy, offset, by_lp)`` of each of its places, by rank."""
+    rank, sequence, places = Counter(), 0, {}
+    for pattern, copies, by_lp in patterns:
         offset = 0
         for n in sorted(pattern, reverse=True):
             for _ in range(pattern[n]):
-                rows.append((n, rank[n], rank[n] + copies, sequence, offset))
+                places.setdefault(n, []).append((rank[n], sequence, offset, by_lp))
                 rank[n] += copies
                 offset += n
         sequence += copies
-    return rows
+    return places
+
+
+def _spans(counts: dict[tuple[int, int], int], places: dict[int, list[tuple]]) -> Iterator[tuple]:
+    """``length, bucket, first rank in the bucket, sequence, offset, by_lp``: for each bucket of a
+    length the places that its ranks fall into, the first rank of each."""
+    before = Counter()
+    for (n, bucket), c in sorted(counts.items()):
+        lo, hi = before[n], before[n] + c
+        before[n] = hi
+        starts = [x[0] for x in places[n]]
+        for x in places[n][bisect.bisect_right(starts, lo) - 1 : bisect.bisect_left(starts, hi)]:
+            at = max(lo, x[0])
+            yield n, bucket, at - lo, x[1] + at - x[0], x[2], x[3]
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (with ``doc_id, piece, length``) and ``sequence_id, offset`` for each piece."""
+    """``cut`` (with ``doc_id, piece, length``) and ``sequence_id, offset, by_lp`` for each piece."""
     spark = cut.sparkSession
-    cut = settle(cut.withColumn("kd_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")))
-    counts = cut.groupBy("length", "kd_bucket").agg(F.count(F.lit(1)).alias("c")).collect()  # at most capacity * BUCKETS
-    histogram = Counter()
-    for r in counts:
-        histogram[r["length"]] += r["c"]
-    base, starts = Counter(), []
-    for r in sorted(counts):
-        starts.append((r["length"], r["kd_bucket"], base[r["length"]]))
-        base[r["length"]] += r["c"]
-    if not starts:
-        return cut.drop("kd_bucket").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    # places of a (length, bucket) as an array of its rank intervals: their number is bounded by
-    # the plan (patterns times pieces of one), not by the documents
-    by_length: dict[int, list] = {}
-    for n, lo, hi, s, o in _places(plan(dict(histogram), capacity)):
-        by_length.setdefault(n, []).append((lo, hi, s, o))
-    table = []
-    ends = {(n, b): at for n, b, at in starts}
-    for r in sorted(counts):
-        n, b = r["length"], r["kd_bucket"]
-        lo, hi = ends[n, b], ends[n, b] + r["c"]
-        spans = by_length[n]
-        where = np.array([x[0] for x in spans])
-        for x in spans[max(0, int(np.searchsorted(where, lo, "right")) - 1) :]:
-            if x[0] >= hi:
-                break
-            table.append((n, b, max(lo, x[0]) - lo, min(hi, x[1]) - lo, x[2] + max(lo, x[0]) - x[0], x[3]))
-    small = spark.createDataFrame(pa.table(dict(zip(["length", "kd_bucket", "kd_lo", "kd_hi", "kd_seq", "offset"], (pa.array(c, pa.int64()) for c in zip(*table))))))
-    # each interval as its first rank: a piece takes the last one that begins at or before its own
-    ranked = cut.withColumn("kd_rank", F.row_number().over(W.partitionBy("length", "kd_bucket").orderBy("doc_id", "piece", *(["ids_crc32"] if "ids_crc32" in cut.columns else []))) - 1)
-    spans = small.groupBy("length", "kd_bucket").agg(F.sort_array(F.collect_list(F.struct("kd_lo", "kd_hi", "kd_seq", "offset"))).alias("kd_spans"))
-    found = ranked.join(spans.withColumn("kd_bucket", F.col("kd_bucket").cast("int")), ["length", "kd_bucket"])
-    one = F.filter("kd_spans", lambda s: (s["kd_lo"] <= F.col("kd_rank")) & (F.col("kd_rank") < s["kd_hi"]))[0]
-    found = found.withColumn("kd_one", one)
-    return found.select(*[c for c in cut.columns if c != "kd_bucket"], (F.col("kd_one.kd_seq") + F.col("kd_rank") - F.col("kd_one.kd_lo")).alias("sequence_id"), F.col("kd_one.offset").cast("long").alias("offset"))
+    cut = settle(cut)
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    if not histogram:
+        more = {"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "by_lp": F.lit(True)}
+        return cut.withColumns(more)
+    # a length is dealt over as many buckets as its pieces need
+    deal = [(n, -(-c // BUCKET_ROWS)) for n, c in sorted(histogram.items())]
+    dealt = spark.createDataFrame(pa.table({"length": [n for n, _ in deal], "kd_of": [b for _, b in deal]}))
+    rows = cut.join(F.broadcast(dealt), "length")  # at most capacity rows
+    rows = rows.withColumn("kd_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("kd_of")))
+    counts = rows.groupBy("length", "kd_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity + pieces / BUCKET_ROWS
+    spans = _spans({(r["length"], r["kd_bucket"]): r["n"] for r in counts}, _places(plan(histogram, capacity)))
+    # their number is bounded by the plan (patterns times pieces of one) and the buckets, not by the documents
+    kinds = [pa.int64()] * 5 + [pa.bool_()]
+    names = ["length", "kd_bucket", "kd_lo", "kd_seq", "kd_offset", "kd_by_lp"]
+    small = spark.createDataFrame(pa.table({c: pa.array(v, k) for c, v, k in zip(names, zip(*spans), kinds)}))
+    steps = small.groupBy("length", "kd_bucket").agg(F.sort_array(F.collect_list(F.struct(*names[2:]))).alias("kd_steps"))
+    order = W.partitionBy("length", "kd_bucket").orderBy("doc_id", "piece", *(c for c in ("ids_crc32",) if c in cut.columns))
+    ranked = rows.withColumn("kd_rank", F.row_number().over(order).cast("long") - 1)
+    # a piece takes the last step that begins at or before its rank
+    step = F.element_at(F.filter("kd_steps", lambda s: s["kd_lo"] <= F.col("kd_rank")), -1)
+    found = ranked.join(steps, ["length", "kd_bucket"]).withColumn("kd_step", step)
+    sequence = F.col("kd_step.kd_seq") + F.col("kd_rank") - F.col("kd_step.kd_lo")
+    return found.select(
+        *cut.columns,
+        sequence.alias("sequence_id"),
+        F.col("kd_step.kd_offset").alias("offset"),
+        F.col("kd_step.kd_by_lp").alias("by_lp"),
+    )
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, end: int = 0) -> DataFrame:
