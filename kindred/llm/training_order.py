@@ -1,37 +1,50 @@
 """Training-order materialisation: a keyed permutation gives every sequence a global slot.
 
-Documents are cut into sequences of at most ``length`` ids. Sequences are numbered 0..n-1 without a
-global sort (counts by salted bucket, then ranks within buckets), and a keyed Feistel network over
-the smallest even-bit domain that holds n, walked along its cycles until it falls below n, maps
-each number to its slot: a bijection that any task computes for itself. Range partitions of slots
-then become shards of equal stride: slot s lies in shard ``s div per_shard`` at byte
-``(s mod per_shard) * stride`` of a flat file. ``write_shards`` writes Parquet by shard instead, where a
-reader resumes by shard and slot, not by one seek; ``digest`` writes no shards.
-
-Defined results: a null or empty text is one sequence of the end id; repeated rows are numbered as
-often as they come; an empty table gives no rows; a short sequence is padded with PAD to the stride
-in files, and its length says how much counts.
+The ids of the documents of a task, each with an end id, run on without a gap and are cut into
+sequences of ``length`` ids; only the last sequence of a task can be short and is padded. Sequences
+are numbered 0..n-1 by task and place, without a sort, and a keyed Feistel network over the smallest
+even-bit domain that holds n, walked along its cycles until it falls below n, maps each number to
+its slot: a bijection that any task computes for itself.
+
+Shards are flat files of fixed-stride records: slot s is record ``s mod per_shard`` of shard
+``s div per_shard`` and begins at byte ``(s mod per_shard) * stride``. A record is the number of its
+ids (4 bytes, big-endian), the ids (little-endian, 2 bytes each where the tokenizer's ids fit, else
+4), PAD up to ``length`` of them, and a line feed. Slots are dealt to tasks by whole shards and
+sorted there. Spark's own text writer puts the bytes down, so its commit makes the write safe to
+repeat after a lost executor, on any file system that Spark can write to. ``records`` reads shards
+back in the JVM from any slot on, ``stream`` seeks to a slot in files that this machine sees.
+
+Defined results: a null or empty text is its end id alone; repeated rows are written as often as they
+come; a null doc_id stays null; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
-import zlib
+import dataclasses
+import json
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
-from .encode import DEFAULT_TOKENIZER
-from .packing import pieces
+from .common import settle, shared_dir, small_batches
+from .encode import DEFAULT_TOKENIZER, encoder
 
 LENGTH = 2048
+#: records of a shard: 17 MB at LENGTH ids of 2 bytes; a larger corpus takes more
 PER_SHARD = 4096
-BUCKETS = 1024
+#: tasks that write shards, at most; each writes whole shards one after the other
+MOST_TASKS = 20_000
 ROUNDS = 6
 PAD = 0
+#: bytes before and after the ids of a record
+_HEAD, _TAIL = 4, 1
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -53,97 +66,144 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
     return out.astype(np.int64)
 
 
-def number(rows: DataFrame, *by: str) -> DataFrame:
-    """``rows`` with ``kd_index``, 0..n-1 without gaps in a fixed order, and ``kd_total`` = n."""
-    rows = rows.withColumn("kd_bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int"))
-    counts = rows.groupBy("kd_bucket").agg(F.count(F.lit(1)).alias("c"))  # at most BUCKETS rows
-    before = W.orderBy("kd_bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("kd_bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("kd_base"), F.sum("c").over(W.partitionBy(F.lit(0))).alias("kd_total"))
-    rank = F.row_number().over(W.partitionBy("kd_bucket").orderBy(*by)) - 1
-    return rows.join(F.broadcast(counts), "kd_bucket").withColumn("kd_index", F.col("kd_base") + rank).drop("kd_bucket", "kd_base")
+def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str = DEFAULT_TOKENIZER, end: int = 0) -> DataFrame:
+    """``part, seq, length, parts, record``: the sequences of each task ``part``, numbered there.
+    ``parts`` lists the pieces of documents in it: doc_id, start in the document, offset, length."""
+    small_batches(docs.sparkSession)
+    width = id_width(tokenizer)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
+
+    def cut(batches):
+        enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        tail = int(end).to_bytes(4, "little")
+        ids, parts, ready = bytearray(), [], []
+
+        def flush():
+            cols = list(zip(*ready)) or [()] * 5
+            ready.clear()
+            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), kind, pa.binary()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "length", "parts", "record"])
+
+        def close():
+            nonlocal seq
+            n = len(ids) // width
+            ids.extend(int(PAD).to_bytes(width, "little") * (length - n))
+            ready.append((part, seq, n, list(parts), n.to_bytes(_HEAD, "big") + bytes(ids)))
+            seq += 1
+            ids.clear()
+            parts.clear()
 
-
-def training_order(docs: DataFrame, key: int = 20240229, length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str = DEFAULT_TOKENIZER, end: int = 0) -> DataFrame:
-    """``slot, shard, position, doc_id, piece, length, ids_crc32, ids`` of every sequence, range
-    partitioned and sorted by slot; ``ids`` are packed little-endian unsigned 32-bit."""
-    spark = docs.sparkSession
-    cut = settle(_short(pieces(docs, length, tokenizer, end, payload=True)))
-    order = number(cut.select("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
-
-    def slots(batches):
         for b in batches:
-            if b.num_rows:
-                n, at = b.column(4)[0].as_py(), b.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(feistel(at, n, key))], names=["doc_id", "piece", "ids_crc32", "slot"])
-
-    placed = order.select("doc_id", "piece", "ids_crc32", F.col("kd_index").cast("long"), F.col("kd_total").cast("long")).mapInArrow(slots, "doc_id long, piece int, ids_crc32 long, slot long")
-    # a repeated row meets its like one to one: both sides number the equal ones
-    same = W.partitionBy("doc_id", "piece", "ids_crc32").orderBy(F.lit(0))
-    placed = settle(placed.withColumn("kd_copy", F.row_number().over(same)))
-    once = placed.agg(F.max("kd_copy")).first()[0]
-    if once is None or once == 1:
-        keyed, on = cut, ["doc_id", "piece", "ids_crc32"]
-    else:
-        keyed, on = cut.withColumn("kd_copy", F.row_number().over(same)), ["doc_id", "piece", "ids_crc32", "kd_copy"]
-    cond = [keyed[c].eqNullSafe(placed[c]) for c in on]
-    full = keyed.join(placed, cond).select(placed["slot"], keyed["doc_id"], keyed["piece"], keyed["length"], keyed["ids_crc32"], "kd_wide", "ids")
-    n = spark.conf.get("spark.sql.shuffle.partitions")
-    return (
-        full.repartitionByRange(int(n), "slot").sortWithinPartitions("slot")
-        .select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), F.pmod("slot", F.lit(per_shard)).alias("position"), "doc_id", "piece", "length", "ids_crc32", "kd_wide", "ids")
-    )
-
-
-def _short(cut: DataFrame) -> DataFrame:
-    """Ids as unsigned 16-bit where all of a sequence fit: half the bytes to move. ``kd_wide`` says
-    which."""
-
-    def narrow(batches):
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                raw = enc.packed(t) + tail
+                if width == 2:
+                    raw = np.frombuffer(raw, "<u4").astype("<u2").tobytes()
+                at = 0
+                while at < len(raw):
+                    take = min(len(raw) - at, width * length - len(ids))
+                    parts.append({"doc_id": d, "start": at // width, "offset": len(ids) // width, "length": take // width})
+                    ids += raw[at : at + take]
+                    at += take
+                    if len(ids) == width * length:
+                        close()
+                if len(ready) >= 256:
+                    yield flush()
+        if ids:
+            close()
+        yield flush()
+
+    kinds = "part int, seq long, length int, parts array<struct<doc_id: long, start: long, offset: int, length: int>>, record binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, kinds)
+
+
+def id_width(tokenizer: str = DEFAULT_TOKENIZER) -> int:
+    return 2 if encoder(tokenizer).tok.get_vocab_size() <= 1 << 16 else 4
+
+
+@dataclasses.dataclass(frozen=True)
+class Shards:
+    """Where shards lie and how; kept beside them as a line of JSON."""
+
+    path: str
+    total: int
+    length: int = LENGTH
+    width: int = 2
+    per_shard: int = PER_SHARD
+
+    @property
+    def stride(self) -> int:
+        return _HEAD + self.width * self.length + _TAIL
+
+    def save(self, spark: SparkSession) -> None:
+        spark.createDataFrame([(json.dumps(dataclasses.asdict(self)),)], "value string").coalesce(1).write.text(f"{self.path}/_layout")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Shards:
+        return cls(**json.loads(spark.read.text(f"{path}/_layout").first()[0]) | {"path": path})
+
+
+def _slot(index: Column, n: int, key: int) -> Column:
+    @F.arrow_udf("long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            data, wide = [], []
-            for x in b.column("ids").to_pylist():
-                a = np.frombuffer(x, "<u4")
-                w = bool(a.max() > 0xFFFF)
-                wide.append(w)
-                data.append(x if w else a.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(wide, pa.bool_()), pa.array(data, pa.binary())], names=[*b.schema.names[:5], "kd_wide", "ids"])
-
-    return cut.mapInArrow(narrow, "doc_id long, piece int, start long, length long, ids_crc32 long, kd_wide boolean, ids binary")
-
+            yield pa.array(feistel(b.to_numpy(zero_copy_only=False), n, key))
 
-def widen(ids: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(ids, "<u4" if wide else "<u2").astype("<u4")
+    return run(index)
 
 
-def digest(ordered: DataFrame, length: int = LENGTH) -> DataFrame:
-    """What the shards hold, read from the sequences as they lie there: ``slot, shard, byte_offset,
-    doc_id, piece, length, ids_crc32``; the CRC is taken anew from the ids that arrived."""
-
-    def check(batches):
-        for b in batches:
-            crc = [zlib.crc32(widen(x, w).tobytes()) for x, w in zip(b.column("ids").to_pylist(), b.column("kd_wide").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("slot", "shard")] + [pa.array(b.column("position").to_numpy() * 4 * length)] + [b.column(c) for c in ("doc_id", "piece", "length")] + [pa.array(crc, pa.int64())], names=["slot", "shard", "byte_offset", "doc_id", "piece", "length", "ids_crc32"])
-
-    return ordered.mapInArrow(check, "slot long, shard long, byte_offset long, doc_id long, piece int, length long, ids_crc32 long")
-
-
-def write_shards(ordered: DataFrame, path: str, length: int = LENGTH) -> None:
-    """Write shards as tables partitioned by ``shard``, each row a fixed-stride record in slot order:
-    Spark's committer makes the write safe to repeat after a lost executor."""
-
-    def pad(batches):
-        for b in batches:
-            data = []
-            for x, w in zip(b.column("ids").to_pylist(), b.column("kd_wide").to_pylist()):
-                raw = widen(x, w).tobytes()
-                data.append(raw + int(PAD).to_bytes(4, "little") * (length - len(raw) // 4))
-            yield pa.RecordBatch.from_arrays([b.column("slot"), b.column("shard"), b.column("length"), pa.array(data, pa.binary())], names=["slot", "shard", "length", "record"])
-
-    records = ordered.mapInArrow(pad, "slot long, shard long, length long, record binary")
-    n = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    records.repartitionByRange(n, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
-
-def read_from(spark, path: str, slot: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """Sequences from ``slot`` on, in slot order; shards before it are not opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot)).orderBy("slot")
+def training_order(docs: DataFrame, key: int = 20240229, length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str = DEFAULT_TOKENIZER, end: int = 0, path: str | None = None) -> tuple[Shards, DataFrame]:
+    """Write the shards of ``docs`` under ``path`` (a new folder of the shared one if none is given).
+    Returns where they lie, and ``slot, length, parts`` of every sequence."""
+    spark = docs.sparkSession
+    cut = settle(sequences(docs, length, tokenizer, end))
+    counts = settle(cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")))  # a row for each task that read documents
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    shards = Shards(path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", n, length, id_width(tokenizer), per_shard)
+    base = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = cut.join(F.broadcast(base), "part").withColumn("slot", _slot(F.col("base") + F.col("seq"), n, key))
+    if n:
+        of = -(-n // per_shard)
+        tasks = min(of, MOST_TASKS)
+        shard = F.floor(F.col("slot") / per_shard)
+        rows = placed.select("slot", shard.alias("shard"), "record").repartitionById(tasks, F.floor(F.col("shard") * tasks / of).cast("int"))
+        flat = rows.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
+        flat.write.partitionBy("shard").option("lineSep", "\n").text(shards.path)
+    shards.save(spark)
+    return shards, placed.select("slot", "length", "parts")
+
+
+def records(spark: SparkSession, shards: Shards, slot: int = 0) -> DataFrame:
+    """``slot, shard, byte_offset, length, ids`` of the records from ``slot`` on, each read from its
+    place in its shard; earlier shards are not opened. Ids are as they lie there."""
+    if not shards.total:
+        return spark.createDataFrame([], "slot long, shard long, byte_offset long, length long, ids binary")
+    files = spark.read.format("binaryFile").load(shards.path).where(F.col("shard") >= slot // shards.per_shard)
+    n = F.floor(F.col("length") / shards.stride)
+    cut = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring("content", i * shards.stride + 1, F.lit(shards.stride)))
+    rows = files.select(F.col("shard").cast("long").alias("shard"), F.posexplode(cut).alias("position", "record"))
+    size = F.conv(F.hex(F.substring("record", 1, _HEAD)), 16, 10).cast("long")
+    rows = rows.select(
+        (F.col("shard") * shards.per_shard + F.col("position")).alias("slot"), "shard",
+        (F.col("position").cast("long") * shards.stride).alias("byte_offset"), size.alias("length"),
+        F.substring("record", F.lit(_HEAD + 1), (size * shards.width).cast("int")).alias("ids"),
+    )
+    return rows.where(F.col("slot") >= slot)
+
+
+def stream(shards: Shards, slot: int = 0) -> Iterator[np.ndarray]:
+    """The ids of each sequence from ``slot`` on, in slot order, by one seek and sequential reads."""
+    for shard in range(slot // shards.per_shard, -(-shards.total // shards.per_shard)):
+        (file,) = Path(shards.path.removeprefix("file:")).glob(f"shard={shard}/part-*")
+        with open(file, "rb") as f:
+            f.seek(max(0, slot - shard * shards.per_shard) * shards.stride)
+            while record := f.read(shards.stride):
+                n = int.from_bytes(record[:_HEAD], "big")
+                yield np.frombuffer(record, f"<u{shards.width}", n, _HEAD)
+
+
+def digest(spark: SparkSession, shards: Shards, index: DataFrame) -> DataFrame:
+    """What the shards hold, read back from them: ``slot, shard, byte_offset, length, ids_crc32`` (of
+    the ids as they lie there), and from the index ``doc_ids, starts, lengths`` of the documents' pieces."""
+    found = records(spark, shards).select("slot", "shard", "byte_offset", "length", F.crc32("ids").alias("ids_crc32"))
+    named = index.select("slot", F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("starts"), F.col("parts.length").alias("lengths"))
+    return found.join(named, "slot")
