@@ -1,6 +1,7 @@
 """Token counts: an exact length histogram and its suffix sums.
 
-Every document is encoded once and only its length kept; documents are then aggregated by length,
+Every document is encoded once and only its length kept (the histogram is settled before it is
+summed in two ways); documents are then aggregated by length,
 and suffix sums over the histogram answer totals, quantiles and truncated totals for every context
 limit at once. The histogram has a row for each distinct length, not for each document, and its
 suffix sums are taken in blocks of BLOCK lengths, so no single task holds it all.
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import settle, small_batches
 from .encode import DEFAULT_TOKENIZER, encoder
 
 BLOCK = 1024
@@ -38,7 +39,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     """``n_tokens, docs, docs_at_least, tokens_at_least, tokens_within, truncated_tokens``, a row for
     each distinct length L: documents and tokens of those of L or more, tokens of documents of at
     most L, and the tokens that remain when every document is cut at L."""
-    hist = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    hist = settle(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")))
+    hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = hist.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     after = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)  # one row a block: at most longest text / BLOCK
     total = W.partitionBy(F.lit(0))
