@@ -2,9 +2,13 @@
 
 A document's lines that hold a word are numbered; each three in a row make a window, hashed over
 the lines' words. Windows are compared over the whole corpus: the first occurrence, in (doc_id,
-content, position) order, stays, and every later one is covered. Covered positions of a document are
-merged and its text is rebuilt without them. The first occurrence is a minimum, so a window that
-very many documents share is summed before it is dealt out.
+content, position) order, covers nothing, and every later one covers its lines. Covered positions of
+a document are merged and its text is rebuilt without them. A line goes once any later occurrence
+covers it, even one that overlaps a first occurrence: of nine equal lines in a row, whose windows all
+repeat the first, only the first line stays. The first occurrence is a minimum, so a window that very
+many documents share is summed before it is dealt out.
+
+A word is ``[^\\x20\\x09-\\x0D]+``; other space characters belong to words.
 
 Defined results: a document with fewer than three such lines, a null or an empty text is returned
 as it came; lines without a word are kept where they stand; repeated rows of the same doc_id and
@@ -26,9 +30,9 @@ from .common import discard, settle, sift, small_batches
 WINDOW = 3
 
 
-def _lines(text: str | None) -> tuple[list[str], list[int]]:
+def _lines(text: str | None) -> tuple[list[bytes], list[int]]:
     """Lines split at \\n, and the numbers of those that hold a word."""
-    lines = (text or "").split("\n")
+    lines = (text or "").encode("utf-8", "replace").split(b"\n")
     return lines, [i for i, x in enumerate(lines) if x and not x.isspace()]
 
 
@@ -37,7 +41,7 @@ def _windows(text: str | None, size: int) -> list[int]:
     lines, at = _lines(text)
     if len(at) < size:
         return []
-    words = [" ".join(lines[i].split()).encode("utf-8", "replace") for i in at]
+    words = [b" ".join(lines[i].split()) for i in at]
     return [xxhash.xxh3_64_intdigest(b"\n".join(words[i : i + size])) - (1 << 63) for i in range(len(words) - size + 1)]
 
 
@@ -81,7 +85,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 if d:
                     lines, at = _lines(t)
                     gone = {at[i] for i in d}
-                    t = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+                    t = b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
                 out.append(t)
             yield pa.array(out, pa.string())
 

@@ -42,7 +42,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.digest(training_order.training_order(documents(spark, sf_dir)))
+    return training_order.digest(spark, *training_order.training_order(documents(spark, sf_dir)))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT doc_id, text, i, x FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
     ),
     w AS (
-      SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, trim(regexp_replace(x, '\s+', ' ', 'g')) AS k
-      FROM l WHERE regexp_matches(x, '\S')
+      SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')) AS k
+      FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
     ),
     g AS (
       SELECT doc_id, p, k || chr(10) || lead(k) OVER d || chr(10) || lead(k, 2) OVER d AS g FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)
