@@ -4,7 +4,8 @@ An item of length m may differ from a passage by at most e = floor(m * RATE) edi
 pieces, one piece of it must occur unchanged in the passage. Pieces of all items are searched at
 once (Aho-Corasick); each hit names where the item would lie, and Myers' bit-parallel algorithm
 verifies the least edit distance of the item to any substring there. Items are a stated query set
-against all documents: they are broadcast in blocks of at most BLOCK_CHARS, documents never move.
+against all documents: they are broadcast in blocks of at most BLOCK_CHARS, one block at a time, and
+documents never move.
 
 Texts are compared in lower case with each run of white space as one space. Defined results: null
 and empty texts match nothing; an item without a word is skipped; repeated rows are matched like
@@ -13,13 +14,14 @@ any other; empty tables give no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import settle, share, small_batches
 
 #: edits allowed for each character of an item
 RATE = 0.05
@@ -134,40 +136,56 @@ def _blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield block
 
 
-def _found(benchmark: DataFrame, rate: float):
-    """For each block of items, an Arrow function text -> [(item_id, distance)]."""
-    spark = benchmark.sparkSession
-    small_batches(spark)
-    for items in _blocks(benchmark):
-        yield _search(spark.sparkContext.broadcast(items), rate)
-
-
-def _search(held, rate: float):
+def _search(spark: SparkSession, items: list[tuple[int, str]], rate: float):
+    """An Arrow function text -> [(item_id, distance)] of a block of items, and its broadcast."""
+    held = share(spark, items)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64())]))
 
     @F.arrow_udf("array<struct<item_id: long, distance: long>>")
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(held.value, rate)
         for b in batches:
-            yield pa.array([[{"item_id": k, "distance": v} for k, v in sorted(matcher.search(t).items(), key=str)] for t in b.to_pylist()], kind)
+            hits = (sorted(matcher.search(t).items(), key=str) for t in b.to_pylist())
+            yield pa.array([[{"item_id": k, "distance": v} for k, v in h] for h in hits], kind)
+
+    return search, held
+
 
-    return search
+def _each_block(docs: DataFrame, benchmark: DataFrame, rate: float, found) -> Iterator[DataFrame]:
+    """``found(docs, search)`` for each block of items. All but the last are settled, so that their
+    items leave the workers before the next block comes."""
+    small_batches(docs.sparkSession)
+    blocks = _blocks(benchmark)
+    items = next(blocks, None)
+    while items is not None:
+        search, held = _search(docs.sparkSession, items, rate)
+        out, items = found(search), next(blocks, None)
+        if items is not None:
+            out = settle(out)
+            held.unpersist()
+        yield out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``doc_id, item_id, distance``: every document that holds an item within its error budget."""
-    out = None
-    for search in _found(benchmark, rate):
-        hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(search("text")).alias("kd")).select("doc_id", "kd.item_id", "kd.distance")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
+
+    def found(search):
+        hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(search("text")).alias("kd"))
+        return hits.select("doc_id", "kd.item_id", "kd.distance")
+
+    parts = list(_each_block(docs, benchmark, rate, found))
+    if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long")
-    return out
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    cols = docs.columns
-    for search in _found(benchmark, rate):
-        docs = docs.withColumn("__kindred", search("text")).where(F.size("__kindred") == 0).select(*cols)
-    return docs
+    cols, left = docs.columns, docs
+
+    def found(search):
+        return left.withColumn("__kindred", search("text")).where(F.size("__kindred") == 0).select(*cols)
+
+    for left in _each_block(docs, benchmark, rate, found):
+        pass
+    return left
