@@ -11,13 +11,11 @@ rows are independent, so repeated rows repeat; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, windows, word_hashes
@@ -99,10 +97,15 @@ def measure(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", *(F.col(f"kd.{m}").alias(m) for m in MEASURES))
 
 
+def _failed() -> Column:
+    """The mask of failed rules, from the measurements."""
+    bits = (F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)) for i, cond in enumerate(RULES.values()))
+    return sum(bits, F.lit(0)).cast("long")
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, measurements and ``failed``, the mask of failed rules."""
-    bits = sum((F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)) for i, cond in enumerate(RULES.values())), F.lit(0))
-    return measure(docs).withColumn("failed", bits.cast("long"))
+    return measure(docs).withColumn("failed", _failed())
 
 
 def verdict(led: DataFrame, policy: str = "v1") -> DataFrame:
@@ -123,9 +126,9 @@ def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """``docs`` without the documents that the policy rejects, other columns as they were."""
+    """``docs`` without the documents that the policy rejects, other columns as they were: the
+    ledger's bits are read beside the document, which moves nowhere."""
     small_batches(docs.sparkSession)
-    held = docs.withColumn("__kindred", _measures()("text"))
-    wanted = set(POLICIES[policy]) | set(POLICIES["base"])
-    bad = [F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"__kindred.\1", c)) for r, c in RULES.items() if r in wanted]
-    return held.where(~functools.reduce(lambda x, y: x | y, bad)).drop("__kindred")
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("kd_doc"), F.col("text").alias("kd_text"))
+    rows = whole.select("kd_doc", _measures()("kd_text").alias("kd")).select("kd_doc", "kd.*").withColumn("failed", _failed())
+    return verdict(rows, policy).where("kept").select("kd_doc.*")
