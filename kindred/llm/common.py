@@ -4,6 +4,7 @@ names its own with a ``kd_`` prefix (``__kindred`` where all columns are carried
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,14 +19,46 @@ BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS rows, for good: plans are lazy and read the
+    setting when they run. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+#: what the innermost ``scope`` holds: tables of ``settle`` and broadcasts of ``share``
+_SCOPES: list[list] = []
+
+
+@contextlib.contextmanager
+def scope():
+    """Tables settled and values shared within go at its end; results must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for x in _SCOPES.pop():
+            if isinstance(x, DataFrame):
+                discard(x)
+            else:
+                x.destroy()
+
+
+def share(spark: SparkSession, value):
+    """Broadcast a value of bounded size."""
+    held = spark.sparkContext.broadcast(value)
+    if _SCOPES:
+        _SCOPES[-1].append(held)
+    return held
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); unset, as in tests,
-    a temporary folder of this machine becomes it."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Unset, a local session,
+    as in tests, takes a temporary folder of this machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -39,6 +72,8 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kd_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
@@ -73,7 +108,7 @@ def sift(docs: DataFrame, keys: DataFrame, *by: str) -> tuple[DataFrame, DataFra
     """Rows of ``docs`` whose whole-number columns ``by`` may be among those of ``keys``, and rows
     whose are surely not. What follows a join on few keys need not move the texts of the second."""
     slot = F.pmod(F.xxhash64(*(F.col(c).cast("long") for c in by)), F.lit(SIFT_BITS))
-    held = docs.sparkSession.sparkContext.broadcast(bit_table(keys.select(slot.alias("s")), SIFT_BITS))  # SIFT_BITS / 4 bytes
+    held = share(docs.sparkSession, bit_table(keys.select(slot.alias("s")), SIFT_BITS))  # SIFT_BITS / 4 bytes
 
     @F.arrow_udf("boolean")
     def among(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

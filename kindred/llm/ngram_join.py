@@ -8,7 +8,9 @@
    than l: what shares a line or a passage with others but is not near to any goes here.
 3. Classes that share such a shingle form a block. Within it, sets are laid in a trie (shared
    runs of shingles are one path); a probe walks it once, keeps the overlap of a path for all that
-   hang from it, and drops a subtree once the shingles that remain cannot reach the threshold.
+   hang from it, and drops a subtree once the shingles that remain cannot reach the threshold. Paths
+   of one trie begin with the shingles that most of its sets have, so that they share as much as can
+   be; sketches tell before which classes of a block have any set near enough to be laid in it.
 4. Links are closed into components. Blocks that are already one component need no more work, so
    a large group of near copies costs a star, not all its pairs; every other block is searched in
    full, in pieces of ``PIECE`` classes, whichever size it has.
@@ -24,13 +26,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, discard, settle, shingle_set, sift, small_batches
+from .common import bit_table, components, discard, settle, share, shingle_set, sift, small_batches
 
-#: classes of a block in one task; larger blocks are searched piece against piece
+#: classes of a block in one task, and shingles of theirs, about; larger blocks are searched piece
+#: against piece
 PIECE = 256
+PIECE_SHINGLES = 1 << 21
 #: shingles kept in the table of common ones, which orders shingles and decides nothing else
 COMMON_ROWS = 1 << 20
 #: ranges of hashes that a sketch counts, a power of two
@@ -39,8 +43,9 @@ SKETCH = 512
 FIRSTS = 16
 #: share of its size that a class must have in shared shingles beyond the first, l = 1 + SPARE * n
 SPARE = 0.03
-#: bits of the filter for texts that need a second look; false hits only cost volume
-FILTER_BITS = 1 << 22
+#: bits of the filter for texts that need a second look: 16 a class, within these bounds; false hits
+#: only cost volume
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def _common(docs: DataFrame, k: int) -> np.ndarray:
@@ -226,16 +231,47 @@ def _relabel(rows: DataFrame, moved: DataFrame) -> DataFrame:
     return rows.join(moved, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
 
 
+def _pieces(classes: Column, shingles: Column) -> Column:
+    """Over how many pieces a block of so many classes and shingles is dealt."""
+    return F.ceil(F.greatest(classes / PIECE, shingles / PIECE_SHINGLES)).cast("int")
+
+
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row: documents whose sets of k-word shingles
     have den * |intersection| >= num * |union| are linked; component_id is the smallest doc_id
     reachable by links."""
+    return _labelled(docs, k, num, den).drop("text_hash", "comp")
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component: the smallest ``(doc_id, hash of the text)``, a null
+    doc_id last; of rows equal in both any one. Rows without words are linked with nothing and stay,
+    repeated ones too. Other texts than those that may go move nowhere."""
+    cols, last = docs.columns, F.lit((1 << 63) - 1)
+    key = ["__kindred_id", "__kindred_hash"]
+    rows = _labelled(docs, k, num, den).where("n_shingles > 0")
+    groups = settle(rows.select("comp", F.coalesce("doc_id", last).alias(key[0]), F.col("text_hash").alias(key[1])))
+    first = groups.groupBy("comp").agg(F.min(F.struct(*key)).alias("x")).select("x.*")
+    several = groups.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    gone = settle(several.join(first.withColumn("stays", F.lit(True)), key, "left").where("stays is null or n > 1").select(*key, F.coalesce("stays", F.lit(False)).alias("stays")))
+    tagged = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), last), key[1]: F.xxhash64("text")})
+    some, rest = sift(tagged, gone, *key)
+    out = some.join(gone.hint("merge"), key, "left_anti").select(*cols).unionByName(rest.select(*cols))
+    repeated = gone.where("stays").select(*key)
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(some.join(repeated.hint("merge"), key, "left_semi").dropDuplicates(key).select(*cols))
+
+
+def _labelled(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id`` for each row, and ``comp``, which tells components
+    apart even where a repeated doc_id gives two of them one name."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     by_count = _common(docs, k)
     by_hash = np.argsort(by_count)
-    common = spark.sparkContext.broadcast((by_count[by_hash], by_hash))  # at most 16 MB
+    common = share(spark, (by_count[by_hash], by_hash))  # at most 16 MB
 
     def sign(batches):
         hashes, rank = common.value
@@ -246,9 +282,11 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
                 n.append(len(s))
                 key.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 pre.append(_ordered(s, hashes, rank)[: len(s) - -(-num * len(s) // den) + 1 + int(SPARE * len(s))].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "pre"])
+            made = [pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(pre, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names=["doc_id", "text_hash", "n", "node", "pre"])
 
-    signed = settle(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, node long, pre array<long>"))
+    read = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    signed = settle(read.mapInArrow(sign, "doc_id long, text_hash long, n long, node long, pre array<long>"))
     classes = signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("pre").alias("pre"))
     # core: within the prefix for one shared shingle; l more follow
     core = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den)
@@ -261,28 +299,31 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     near = dealt.join(shared, "tok").where(fits).select("tok", "node", "n", "core", "m")
     near = settle(near)
     enough = near.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.floor(F.col("n") * num / den) * SPARE)).select("node")
-    rows = settle(near.where("core").join(enough, "node", "left_semi").select("tok", "node", "m"))
+    rows = settle(near.where("core").join(enough, "node", "left_semi").select("tok", "node", "m", "n"))
     discard(near)
 
     # First the largest block of each class: joins most of what belongs together. A class is in one
     # piece of one block, so what a piece finds needs no closing over pieces.
-    home = rows.groupBy("node").agg(F.max(F.struct("m", "tok")).alias("x")).select("node", F.col("x.tok").alias("tok"))
-    size = home.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    home = rows.groupBy("node").agg(F.max(F.struct("m", "tok", "n")).alias("x")).select("node", "x.tok", "x.n")
+    size = home.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), _pieces(F.count(F.lit(1)), F.sum("n")).alias("p")).where("c > 1").select("tok", "p")
+    home = home.drop("n")
     placed = settle(home.join(size, "tok").withColumn("comp", F.col("node")))
     # sets bring their block along, so that they need not move once more to meet it
     sets = settle(_sets(docs, rows.select("node").distinct().join(placed, "node", "left"), k))
     moved = []
 
     def meet(part: DataFrame) -> None:
-        piece = F.pmod(F.xxhash64("node", F.lit(len(moved))), F.ceil(F.col("c") / PIECE)).alias("piece")
+        piece = F.pmod(F.xxhash64("node", F.lit(len(moved))), F.col("p")).alias("piece")
         moved.append(settle(_search(part.select("tok", piece, "node", "comp", F.lit(0).alias("side"), "shingles"), ["tok", "piece"], num, den)))
 
     meet(sets.where("tok is not null"))
     # Then one class of each component of a block of several pieces, so that its pieces meet.
-    wide = placed.where(F.col("c") > PIECE)
+    wide = placed.where("p > 1")
     if not wide.isEmpty():
         tops = _relabel(wide, moved[0]).groupBy("tok", "comp").agg(F.min("node").alias("node"))
-        tops = settle(tops.join(tops.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tok"))
+        tops = tops.join(rows.select("tok", "node", "n"), ["tok", "node"])
+        several = tops.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), _pieces(F.count(F.lit(1)), F.sum("n")).alias("p")).where("c > 1")
+        tops = settle(tops.drop("n").join(several.drop("c"), "tok"))
         meet(tops.join(sift(sets, tops, "node")[0].select("node", "shingles"), "node"))
         discard(tops)
 
@@ -294,10 +335,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
         left = _relabel(left, m)
     left = settle(left)
     open_ = (
-        left.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
-        .groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-        .where("lo <> hi").groupBy("c", "s", "lo", "hi", "top").agg(F.min("tok").alias("tok"))
-        .select("tok", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / PIECE).cast("int").alias("p"), F.ceil((F.col("c") - F.col("top.c")) / PIECE).cast("int").alias("q"))
+        left.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+        .groupBy("tok").agg(F.max(F.struct("c", "comp", "w")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.sum("s").alias("s"))
+        .where("lo <> hi").groupBy("c", "w", "s", "lo", "hi", "top").agg(F.min("tok").alias("tok"))
+        .select("tok", F.col("top.comp").alias("main"), _pieces(F.col("top.c"), F.col("top.w")).alias("p"), _pieces(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("q"))
     )
     in_main = F.col("comp") == F.col("main")
     mine = settle(left.join(open_, "tok").withColumn("mine", F.when(in_main, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).cast("int")))
@@ -309,21 +350,21 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     links = settle(_search(hopeful.join(sift(sets, hopeful, "node")[0].select("node", "shingles"), "node"), ["tok", "x", "y"], num, den))
     closed = components(links.select(F.col("comp").alias("a"), F.col("into").alias("b")))
 
-    labelled = signed.select("doc_id", "n", "node", F.col("node").alias("comp"))
+    labelled = signed.select("doc_id", "text_hash", "n", "node", F.col("node").alias("comp"))
     for m in [*moved, closed.select(F.col("node").alias("comp"), F.col("comp").alias("into"))]:
         labelled = _relabel(labelled, m)
     discard(rows, sets, placed, left, mine, hopeful, links)
     least = labelled.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return labelled.join(least, "comp", "left").select("doc_id", "text_hash", "comp", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _sets(docs: DataFrame, homes: DataFrame, k: int) -> DataFrame:
-    """``node, shingles, sketch`` of the classes in ``homes(node, tok, c, comp)``, and what it says of them. Texts are read again; a bit filter of fixed
-    size keeps those of no such class out of the shuffle."""
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    table = bit_table(homes.select(slot.alias("s")), FILTER_BITS)
-    wanted = spark.sparkContext.broadcast(table)  # FILTER_BITS / 4 bytes
+    """``node, shingles, sketch`` of the classes in ``homes(node, tok, p, comp)``, and what it says of
+    them. Texts are read again; a bit filter keeps those of no such class out of the shuffle."""
+    homes = settle(homes)
+    bits = min(max(LEAST_BITS, 1 << (16 * homes.count()).bit_length()), MOST_BITS)
+    slot = F.pmod(F.xxhash64("node"), F.lit(bits))
+    wanted = share(docs.sparkSession, bit_table(homes.select(slot.alias("s")), bits))  # bits / 4 bytes
 
     def gather(batches):
         table, seen = wanted.value, set()
@@ -337,7 +378,7 @@ def _sets(docs: DataFrame, homes: DataFrame, k: int) -> DataFrame:
                     continue
                 raw = s.tobytes()
                 node = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                at = _spark_slot(node)
+                at = _spark_slot(node, bits)
                 if int(table[at // 32]) >> (at % 32) & 1 and node not in seen:
                     seen.add(node)  # exact copies in this task need not be sent again
                     key.append(node)
@@ -347,10 +388,10 @@ def _sets(docs: DataFrame, homes: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary()), pa.array(sketch, pa.binary())], names=["node", "shingles", "sketch"])
 
     found = docs.select("text").mapInArrow(gather, "node long, shingles binary, sketch binary")
-    return found.join(homes, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("shingles", "sketch", "tok", "c", "comp")))
+    return found.join(homes, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("shingles", "sketch", "tok", "p", "comp")))
 
 
-def _spark_slot(node: int) -> int:
-    """pmod(xxhash64(long), FILTER_BITS) as Spark's function computes it (seed 42)."""
+def _spark_slot(node: int, bits: int) -> int:
+    """pmod(xxhash64(long), bits) as Spark's function computes it (seed 42)."""
     h = xxhash.xxh64_intdigest(node.to_bytes(8, "little", signed=True), seed=42)
-    return h % FILTER_BITS  # FILTER_BITS is a power of two: the same for either sign
+    return h % bits  # a power of two: the same for either sign

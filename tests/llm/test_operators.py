@@ -180,39 +180,117 @@ def test_plan_holds_every_length_exactly():
     for _ in range(5):
         hist = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(30)}
         got = Counter()
-        for p, c in packing.plan(dict(hist), 100, 30):
+        for p, c, _ in packing.plan(dict(hist), 100, 30):
             assert sum(n * k for n, k in p.items()) <= 100
             for n, k in p.items():
                 got[n] += k * c
         assert got == hist
 
 
-def test_training_order(spark):
+def test_configuration_lp_covers_and_places_most():
+    rng = np.random.default_rng(3)
+    for n, most in ((150, 3), (1200, 400)):
+        lengths = np.sort(rng.choice(np.arange(5, 2000), n, replace=False))
+        demand = rng.integers(1, most + 1, n)
+        solution = packing.configuration_lp(demand.astype(float), lengths, 2048)
+        covered = np.zeros(n)
+        for pattern, x in solution.items():
+            assert x > 0 and sum(int(lengths[i]) * k for i, k in pattern) <= 2048
+            for i, k in pattern:
+                covered[i] += k * x
+        assert np.median(covered / demand) >= 0.99
+        parts = packing.plan(dict(zip(lengths.tolist(), demand.tolist())))
+        by_lp = sum(sum(a * b for a, b in p.items()) * c for p, c, lp in parts if lp)
+        total = int((lengths * demand).sum())
+        assert by_lp >= 0.9 * total  # the program does the work, the filler the rest
+        least = max(total / 2048, int(demand[lengths > 1024].sum()))  # two long pieces never share a sequence
+        assert sum(c for _, c, _ in parts) <= least * 1.02 + 3
+
+
+def test_knapsack_prices_are_the_best():
+    rng = random.Random(9)
+    for _ in range(20):
+        lengths = np.array(sorted(rng.sample(range(2, 15), 4)))
+        value = np.array([rng.random() for _ in lengths])
+        best, took = packing._priced(value, lengths, 24)
+        brute = max(
+            sum(v * k for v, k in zip(value, ks))
+            for ks in itertools.product(*(range(24 // n + 1) for n in lengths))
+            if sum(int(n) * k for n, k in zip(lengths, ks)) <= 24
+        )
+        pattern = packing._traced(took, lengths, 24)
+        assert best[24] == pytest.approx(brute) == pytest.approx(sum(value[i] * k for i, k in pattern.items()))
+
+
+def test_packing_deals_a_hot_length_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
+    cut = spark.createDataFrame([(i, 0, 30 if i % 3 else 10 + i % 11) for i in range(200)], "doc_id long, piece int, length long")
+    rows = packing.pack(cut, 100).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 200
+    seq = defaultdict(list)
+    for r in rows:
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in seq.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 100
+
+
+def test_feistel_is_a_bijection():
     for n in (1, 2, 5, 1000, 4097):
         assert sorted(training_order.feistel(np.arange(n), n, 7).tolist()) == list(range(n))
     assert training_order.feistel(np.arange(50), 50, 1).tolist() != training_order.feistel(np.arange(50), 50, 2).tolist()
-    texts = _corpus(7, 20) + ["zz " * 3000]
-    docs = _docs(spark, texts + [texts[0]], extra=True).union(_docs(spark, texts[:1], extra=True))
-    ordered = training_order.training_order(docs, length=128, per_shard=16)
-    rows = training_order.digest(ordered, 128).collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    assert all(r["shard"] == r["slot"] // 16 and r["byte_offset"] == r["slot"] % 16 * 512 for r in rows)
-    want = Counter()
-    for i, t in [*enumerate(texts + [texts[0]]), (0, texts[0])]:
-        x = np.array(_fresh(t) + [0], "<u4")
-        for p, at in enumerate(range(0, len(x), 128)):
-            want[i, p, zlib.crc32(x[at : at + 128].tobytes())] += 1
-    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows) == want
-    assert training_order.training_order(_docs(spark, [])).count() == 0
 
 
-def test_training_order_shards_round_trip(spark, tmp_path):
-    ordered = training_order.training_order(_docs(spark, _corpus(8, 10)), length=64, per_shard=8)
-    training_order.write_shards(ordered, str(tmp_path / "shards"), 64)
-    want = [(r["slot"], training_order.widen(r["ids"], r["kd_wide"]).tolist()) for r in ordered.orderBy("slot").collect()]
-    got = training_order.read_from(spark, str(tmp_path / "shards"), 5, 8).collect()
-    assert [(r["slot"], np.frombuffer(r["record"], "<u4")[: r["length"]].tolist()) for r in got] == want[5:]
-    assert {len(r["record"]) for r in got} == {256}
+def test_training_order(spark, tmp_path):
+    texts = _corpus(7, 20) + ["zz " * 3000]
+    rows = [*enumerate(texts + [texts[0]]), (0, texts[0]), (None, "no name")]
+    docs = _docs(spark, [(i, t) for i, t in rows], extra=True)
+    shards, index = training_order.training_order(docs, length=128, per_shard=16, path=str(tmp_path / "shards"))
+    got = training_order.digest(spark, shards, index).collect()
+    assert [r["slot"] for r in sorted(got)] == list(range(shards.total)) and shards.width == 2 and shards.stride == 4 + 256 + 1
+    # every file is whole records at a fixed stride, and every record lies where the query says
+    for r in got:
+        assert r["shard"] == r["slot"] // 16 and r["byte_offset"] == r["slot"] % 16 * shards.stride
+        (file,) = (tmp_path / "shards" / f"shard={r['shard']}").glob("part-*")
+        raw = file.read_bytes()
+        assert len(raw) % shards.stride == 0
+        one = raw[r["byte_offset"] : r["byte_offset"] + shards.stride]
+        assert int.from_bytes(one[:4], "big") == r["length"] and zlib.crc32(one[4 : 4 + 2 * r["length"]]) == r["ids_crc32"]
+        assert sum(r["lengths"]) == r["length"]
+    # documents come back whole from their pieces
+    ids = list(training_order.stream(shards))
+    pieces = [(d, s, ids[r["slot"]][o : o + n]) for r in index.collect() for d, s, o, n in r["parts"]]
+    want = Counter()
+    for i, t in rows:
+        want[i] += len(_fresh(t)) + 1
+    have = Counter()
+    for d, _, x in pieces:
+        have[d] += len(x)
+    assert have == want
+    for i, t in rows:
+        if want[i] == len(_fresh(t)) + 1:
+            mine = sorted((s, x.tolist()) for d, s, x in pieces if d == i)
+            assert sum((x for _, x in mine), []) == _fresh(t) + [0]
+    assert sum(n < 128 for n in map(len, ids)) <= docs.rdd.getNumPartitions()
+
+
+def test_training_order_resumes(spark, tmp_path):
+    docs = _docs(spark, _corpus(8, 30)).repartition(3)
+    shards, _ = training_order.training_order(docs, length=64, per_shard=8, path=str(tmp_path / "shards"))
+    all_ids = [x.tolist() for x in training_order.stream(shards)]
+    assert len(all_ids) == shards.total > 16
+    again = training_order.Shards.load(spark, str(tmp_path / "shards"))
+    assert again == shards
+    for slot in (0, 5, 8, shards.total - 1, shards.total):
+        assert [x.tolist() for x in training_order.stream(again, slot)] == all_ids[slot:]
+        rows = training_order.records(spark, again, slot).orderBy("slot").collect()
+        assert [np.frombuffer(r["ids"], "<u2").tolist() for r in rows] == all_ids[slot:]
+    # another key, another order of the same sequences; the same key, the same
+    other, _ = training_order.training_order(docs, key=5, length=64, per_shard=8, path=str(tmp_path / "other"))
+    mixed = [x.tolist() for x in training_order.stream(other)]
+    assert mixed != all_ids and sorted(mixed) == sorted(all_ids)
+    none, index = training_order.training_order(_docs(spark, []), path=str(tmp_path / "none"))
+    assert none.total == 0 and training_order.digest(spark, none, index).count() == 0 and list(training_order.stream(none)) == []
 
 
 def _brute_rules(t):
@@ -447,6 +525,75 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == set(range(12))
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as cp
+
+    rng = random.Random(17)
+    a, b = _text(rng, 60), _text(rng, 70)
+    spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string").write.parquet(str(tmp_path / "e" / "benchmark.parquet"))
+    _docs(spark, []).write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path / "e")).count() == 0
+    # a repeated row, a doc_id with two texts, null ids, nulls in other columns, names used within
+    rows = [(7, a), (7, a), (7, b), (9, b), (None, a), (None, _text(rng, 50)), (11, None)]
+    docs = _docs(spark, rows, extra=True).withColumn("lang", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("string"))
+    staged = docs
+    for name, stage in cp.STAGES[:-1]:
+        staged = stage(spark, staged, str(tmp_path / "e"))
+        assert staged.columns == docs.columns and staged.schema == docs.schema, name
+    left = sorted(((r["doc_id"], r["text"]) for r in staged.collect()), key=str)
+    assert left == sorted([(7, a), (7, b), (None, rows[5][1])], key=str)
+
+
+def test_keep_one_of_each_group(spark):
+    rng = random.Random(18)
+    base = [_text(rng, 40) for _ in range(4)]
+    rows = [(5, base[0]), (3, base[0]), (3, base[0]), (3, base[1]), (8, base[1] + " more"), (4, ""), (4, ""), (6, None), (2, base[2]), (2, base[2]), (2, base[2])]
+    got = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(_docs(spark, rows, extra=True)).collect())
+    assert got == Counter([(3, base[0]), (3, base[1]), (4, ""), (4, ""), (6, None), (2, base[2])])
+
+
+def test_shared_dir_is_never_guessed_on_a_cluster():
+    from kindred.llm import common
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Cluster())
+
+
+def test_scope_deletes_what_it_holds(spark):
+    from kindred.llm import common
+
+    with common.scope():
+        held = common.settle(spark.range(3))
+        common.share(spark, [1])
+        assert held.count() == 3
+        path = held.kd_path
+    from pathlib import Path
+
+    assert not Path(path.removeprefix("file:")).exists()
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(19)
+    items = [_text(rng, 25) for _ in range(6)]
+    docs = _docs(spark, [_text(rng, 30) + " " + x for x in items] + [_text(rng, 50), None])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contamination(docs, bench).collect()}
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    assert len(list(decontam._blocks(bench, 200))) > 2
+    monkeypatch.setattr(decontam._blocks, "__defaults__", (200,))
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contamination(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()} == {6, 7}
+
+
 def test_sift_keeps_every_row_and_misses_no_key(spark):
     from kindred.llm.common import sift
 
