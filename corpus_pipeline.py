@@ -2,6 +2,12 @@
 and best-fit packing, each a stage whose result is written as Parquet and read by the next.
 
 Each function takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``docs``.
+
+Defined results: a null or empty text, or one of fewer than ten words, goes with the quality rules;
+an empty table passes through all stages and packs to no rows; columns beyond those of documents are
+carried along, whatever their names, to the last stage, which returns pieces alone; rows are told
+apart by doc_id and text, so of rows equal in both one stays, and a repeated doc_id with another text
+is a document of its own; a null doc_id is ordered last.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm import decontam, line_dedup, ngram_join, packing, quality_rules
-from kindred.llm.common import settle, shared_dir, sift
+from kindred.llm.common import scope, shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +31,9 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more, the document of the smallest
-    doc_id stays; documents without words stay."""
-    groups = ngram_join.ngram_jaccard_components(docs, k=5, num=80, den=100)
-    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    some, rest = sift(docs, gone, "doc_id")  # the texts of the second move nowhere
-    return some.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
+    """Of each group linked by five-word shingles at 0.8 or more one document stays, that of the
+    smallest doc_id; documents without words stay."""
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}-{name}")
+        with scope():  # what a stage settles or broadcasts goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}-{name}")
         docs = spark.read.parquet(f"{root}/{i}-{name}")
     return docs
