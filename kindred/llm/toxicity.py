@@ -1,12 +1,13 @@
 """Toxicity by noisy-channel deobfuscation.
 
-1. A character language model: 4-gram counts over the letters of every document, summed task by
-   task into at most 32^4 cells.
+1. A character language model: 4-gram counts over the letters of every document (Latin letters
+   without their marks, any other letter as one), summed task by task into at most 32^4 cells.
 2. Suspect spans (letters mixed with digits or signs in any place, single letters and signs set
    apart by up to three separators, doubled letters) become a lattice of the letters each sign may stand for; separators may be
-   dropped and repeats collapsed. Viterbi picks the likeliest reading under the model.
+   dropped and repeats collapsed. Viterbi picks the likeliest reading under the model, in time
+   linear in the span.
 3. The restored text is scored by words and word beginnings whose share of toxic documents was
-   learnt from labels; the evidence of a text is combined by noisy-or.
+   learnt from labels; all evidence of a text is combined by noisy-or.
 
 Labels are used only where ``crc32(doc_id) mod 3 <> 1``, at most TRAIN_ROWS a class (those with the
 smallest hash of doc_id); scores see nothing but the text. Defined results: null and empty texts
@@ -17,6 +18,7 @@ a null held_out; without usable labels every text scores 0; an empty table gives
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,19 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import settle, share, small_batches
 
 #: labelled rows of each class that the scorer is fitted on, at most
 TRAIN_ROWS = 30_000
-#: features of the fitted scorer, at most; the ones of most toxic documents stay
-FEATURES = 20_000
-#: toxic documents that a feature must occur in
-LEAST_DOCS = 5
+#: toxic documents of the fitted sample that a feature must occur in
+LEAST_DOCS = 3
 #: weight of the prior in a feature's toxic share
 PRIOR_WEIGHT = 3.0
 #: smallest toxic share that a feature is kept for
 LEAST_SHARE = 0.6
 PREFIXES = (5, 4)
+#: weight of evidence after the first
+LATER = 0.3
 
 _SYMBOLS = 32
 _OTHER = 27  # any letter beyond a-z
@@ -63,6 +65,25 @@ _WORD = re.compile(r"[^\W\d_]+")
 _KEPT = 200_000
 
 
+def _unmarked() -> dict[int, str]:
+    """Latin letters beyond ASCII -> their base letters, by Unicode decomposition."""
+    out = {}
+    for i in range(0xC0, 0x250):
+        base = unicodedata.normalize("NFKD", chr(i)).lower()
+        if base[0].isascii() and base[0].isalpha():
+            out[i] = "".join(c for c in base if c.isascii() and c.isalpha())
+    return out
+
+
+_BASE = _unmarked()
+
+
+def plain(text: str | None) -> str:
+    """Lower case, Latin letters without their marks."""
+    low = (text or "").lower()
+    return low if low.isascii() else low.translate(_BASE)
+
+
 def suspects(low: str) -> set[str]:
     """Distinct suspect spans of a lower-cased text."""
     return {m[0] for m in _SUSPECT.finditer(low)}
@@ -75,7 +96,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(_SYMBOLS**4, np.int64)
         for b in batches:
-            raw = np.frombuffer("\n".join(t or "" for t in b.column(0).to_pylist()).encode("utf-8", "replace"), np.uint8)
+            raw = np.frombuffer("\n".join(map(plain, b.column(0).to_pylist())).encode("utf-8", "replace"), np.uint8)
             c = _CODE[raw[~_INNER[raw]]]
             if len(c) > 3:
                 total += np.bincount(((c[:-3] * 32 + c[1:-2]) * 32 + c[2:-1]) * 32 + c[3:], minlength=len(total))
@@ -104,7 +125,8 @@ class CharModel:
 
     def decode(self, span: str) -> str:
         """The likeliest reading of a suspect span, by Viterbi over the last three letters."""
-        states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+        # last three letters -> score, and the reading as a chain of (chain before, letter)
+        states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
         run = ""
         for ch in span:
             if ch in " ._*-":  # dropped, or the end of a word after all
@@ -112,13 +134,13 @@ class CharModel:
                     if c:
                         v = s + float(self.log[a, b, c, 0])
                         if v > states.get((b, c, 0), (-1e30,))[0]:
-                            states[b, c, 0] = (v, out + " ")
+                            states[b, c, 0] = (v, (out, " "))
                 run = ""
                 continue
             options = LEET.get(ch, ch)
             repeated = ch == run
             run = ch
-            new: dict[tuple[int, int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
             for (a, b, c), (s, out) in states.items():
                 if repeated and s > new.get((a, b, c), (-1e30,))[0]:
                     new[a, b, c] = (s, out)  # a repeat that says nothing
@@ -128,11 +150,14 @@ class CharModel:
                     if repeated:
                         v -= 1.0
                     if v > new.get((b, c, k), (-1e30,))[0]:
-                        new[b, c, k] = (v, out + letter)
+                        new[b, c, k] = (v, (out, letter))
             states = new
-        if not states:
-            return ""
-        return max((s + float(self.log[a, b, c, 0]), out) for (a, b, c), (s, out) in states.items())[1]
+        chain = max(((s + float(self.log[a, b, c, 0]), out) for (a, b, c), (s, out) in states.items()), key=lambda x: x[0])[1]
+        letters = []
+        while chain is not None:
+            chain, letter = chain
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def restored(self, low: str) -> list[str]:
         """Readings of the suspect spans of a lower-cased text."""
@@ -147,11 +172,14 @@ class CharModel:
         return out
 
 
+def _words(text: str | None, model: CharModel) -> set[str]:
+    """Words of a text in lower case, and those that are restored in it."""
+    return set(_WORD.findall((text or "").lower())).union(model.restored(plain(text)))
+
+
 def features(text: str | None, model: CharModel) -> set[str]:
     """Words, and word beginnings marked by a dash, of a text and of what is restored in it."""
-    low = (text or "").lower()
-    words = set(_WORD.findall(low))
-    words.update(model.restored(low))
+    words = _words(text, model)
     out = set(words)
     starts = words
     for k in PREFIXES:
@@ -169,16 +197,23 @@ class Known:
 
     def evidence(self, text: str | None, model: CharModel) -> list[float]:
         """Shares of the known features of a text, largest first."""
-        low = (text or "").lower()
-        words = set(_WORD.findall(low))
-        words.update(model.restored(low))
+        words = _words(text, model)
         out = [self.words[f] for f in words & self.words.keys()]
         for k, known in zip(PREFIXES, self.starts):
-            words = {w[:k] for w in words}
-            out += [known[f] for f in words & known.keys() if len(f) == k]
+            words = {w[:k] for w in words if len(w) >= k}
+            out += [known[f] for f in words & known.keys()]
         return sorted(out, reverse=True)
 
 
+def score_of(evidence: list[float]) -> float:
+    """Noisy-or of all evidence, largest first: features of one text are not independent, so what
+    comes after the first counts LATER of its share."""
+    clean = 1.0
+    for i, p in enumerate(evidence):
+        clean *= 1 - (p if i == 0 else LATER * p)
+    return round(1 - clean, 6)
+
+
 def _in_training(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
 
@@ -194,13 +229,14 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> dict[str, float
         taken[t] = np.sort(ids.column(0).to_numpy())
     if not len(taken[1]) or not len(taken[0]):
         return {}
-    held, lm = spark.sparkContext.broadcast(taken), spark.sparkContext.broadcast(model)
+    held, lm = share(spark, taken), share(spark, model)
 
     def count(batches):
         ids, m = held.value, lm.value
         sums = (Counter(), Counter())
         for b in batches:
-            col = np.array([-1 if x is None else x for x in b.column(0).to_pylist()], np.int64)
+            b = b.filter(b.column(0).is_valid())
+            col = b.column(0).to_numpy()
             for t in (0, 1):
                 for i in np.flatnonzero(np.isin(col, ids[t])):
                     sums[t].update(features(b.column(1)[int(i)].as_py(), m))
@@ -218,9 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> dict[str, float
 
     rate = len(taken[1]) / (len(taken[0]) + len(taken[1]))
     counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    share = (F.col("toxic") + PRIOR_WEIGHT * rate) / (F.col("clean") + F.col("toxic") + PRIOR_WEIGHT)
-    best = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("share", share).where(F.col("share") >= LEAST_SHARE).orderBy(F.desc("toxic"), "f").limit(FEATURES)
-    return {r["f"]: r["share"] for r in best.select("f", "share").collect()}
+    toxic_share = (F.col("toxic") + PRIOR_WEIGHT * rate) / (F.col("clean") + F.col("toxic") + PRIOR_WEIGHT)
+    best = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("share", toxic_share).where(F.col("share") >= LEAST_SHARE)
+    # every feature that qualifies; the documents they come from are at most TRAIN_ROWS a class
+    return {r["f"]: r["share"] for r in best.select("f", "share").toLocalIterator()}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,20 +266,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     model = CharModel(char_counts(docs))
     shares = fit(docs, labels, model)
-    lm, held = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(Known(shares))
+    lm, held = share(spark, model), share(spark, Known(shares))
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, known = lm.value, held.value
         for b in batches:
-            out = []
-            for t in b.to_pylist():
-                best = known.evidence(t, m)[:4]
-                clean = 1.0
-                for p in best[:1] + [0.5 * p for p in best[1:]]:  # features of one word are not independent
-                    clean *= 1 - p
-                out.append(round(1 - clean, 6))
-            yield pa.array(out, pa.float64())
+            yield pa.array([score_of(known.evidence(t, m)) for t in b.to_pylist()], pa.float64())
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score("text").alias("score"))
     return scored.select("doc_id", (~_in_training()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

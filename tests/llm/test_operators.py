@@ -437,6 +437,72 @@ def test_mixed_disguises_are_suspects_and_read():
     assert toxicity.suspects("on 12 of 2024 at 1 2 3 4 5") == set()
 
 
+def _letter_model(texts):
+    raw = np.frombuffer("\n".join(map(toxicity.plain, texts)).encode(), np.uint8)
+    c = toxicity._CODE[raw[~toxicity._INNER[raw]]]
+    return toxicity.CharModel(np.bincount(((c[:-3] * 32 + c[1:-2]) * 32 + c[2:-1]) * 32 + c[3:], minlength=32**4).astype(float))
+
+
+def _best_reading(model, span):
+    """Every path through the lattice of a span without separators: the best score."""
+    best = -1e30
+
+    def walk(i, run, last, s):
+        nonlocal best
+        if i == len(span):
+            best = max(best, s + float(model.log[(*last, 0)]))
+            return
+        ch = span[i]
+        if ch == run:
+            walk(i + 1, ch, last, s)
+        for letter in toxicity.LEET.get(ch, ch):
+            k = ord(letter) - 96 if "a" <= letter <= "z" else toxicity._OTHER
+            walk(i + 1, ch, (*last[1:], k), s + float(model.log[(*last, k)]) - (0.0 if letter == ch else 0.5) - (1.0 if ch == run else 0.0))
+
+    walk(0, "", (0, 0, 0), 0.0)
+    return best
+
+
+def test_decode_is_the_best_path_of_the_whole_lattice():
+    model = _letter_model(["you stupid idiot and moron", "a loser is a clown", "trash and pathetic scum"] * 30)
+    rng = random.Random(21)
+    for _ in range(150):
+        span = "".join(rng.choice("stupidl01!3$@|+5aa") for _ in range(rng.randint(1, 9)))
+        got = model.decode(span)
+        # the reading that came back, scored by itself, is as good as the best of all
+        options, best = {"": [((0, 0, 0), 0.0)]}, None
+        for i, ch in enumerate(span):
+            new = {}
+            for out, paths in options.items():
+                for last, s in paths:
+                    moves = [(out, last, s)] if i and span[i - 1] == ch else []
+                    for letter in toxicity.LEET.get(ch, ch):
+                        k = ord(letter) - 96
+                        cost = (0.0 if letter == ch else 0.5) + (1.0 if i and span[i - 1] == ch else 0.0)
+                        moves.append((out + letter, (*last[1:], k), s + float(model.log[(*last, k)]) - cost))
+                    for o, nl, ns in moves:
+                        if got.startswith(o):
+                            new.setdefault(o, []).append((nl, ns))
+            options = new
+        best = max(s + float(model.log[(*last, 0)]) for last, s in options[got])
+        assert best == pytest.approx(_best_reading(model, span), abs=1e-4), span
+
+
+def test_decode_of_long_spans_is_linear():
+    import time
+
+    model = _letter_model(["some words of plain text"] * 20)
+    began = time.time()
+    out = model.decode("a1b0" * 50_000)
+    assert len(out) > 100_000 and time.time() - began < 30
+
+
+def test_marked_letters_are_read_without_marks():
+    assert toxicity.plain("Stüpïd ÉAU Ωμέγα") == "stupid eau ωμέγα"
+    model = _letter_model(["you stupid idiot"] * 50)
+    assert "stupid" in toxicity.features("such a stüp1d one", model)
+
+
 def test_kneser_ney_against_brute_force(spark):
     texts = ["the cat sat on the mat.", "the rat ate, the cat!", "on the mat the cat sat é 12"]
     docs = _docs(spark, texts)
