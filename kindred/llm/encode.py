@@ -2,8 +2,8 @@
 
 The tokenizer splits at white space before anything else, so ids of a text are the ids of its
 chunks in a row. Chunks repeat: each worker remembers their packed ids (little-endian unsigned
-32-bit), at most ENTRIES of them, over all tasks it runs. A new chunk that is plain letters goes
-straight to the tokenizer's merge model; any other goes through the whole tokenizer.
+32-bit) in two generations of at most CACHE_BYTES each, over all tasks it runs. A new chunk that is
+plain letters goes straight to the tokenizer's merge model; any other through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from array import array
 import numpy as np
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: chunks that a worker remembers (about 200 bytes each) before it starts anew
-ENTRIES = 1_000_000
+#: bytes of chunks, ids and their bookkeeping that one generation holds, about
+CACHE_BYTES = 48_000_000
+#: what an entry takes beside its own bytes
+_ENTRY = 200
+#: longer chunks hardly repeat and are not remembered
+_LONGEST = 64
 
 #: letters a-z or U+00C0..U+00FF, then maybe ASCII punctuation other than an apostrophe: the
 #: tokenizer's own split falls between the two
@@ -40,7 +44,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """chunk -> packed ids; ``packed(text)`` gives those of a whole text (null: of an empty one)."""
+    """chunk -> packed ids; ``packed(text)`` gives those of a whole text (null: of an empty one).
+
+    The dictionary itself is the young generation; once full it becomes the old one, from which
+    chunks that are met again move back."""
 
     def __init__(self, name: str = DEFAULT_TOKENIZER):
         import json
@@ -55,27 +62,37 @@ class Encoder(dict):
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
         self.model, self.letters = self.tok.model, _byte_letters()
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
 
     def __missing__(self, chunk: bytes) -> bytes:
+        out = self.old.get(chunk)
+        if out is None:
+            out = self._encoded(chunk)
+        if len(chunk) <= _LONGEST:
+            if self.size > CACHE_BYTES:
+                self.old = dict(self)
+                self.clear()
+                self.size = 0
+            self[chunk] = out
+            self.size += len(chunk) + len(out) + _ENTRY
+        return out
+
+    def _encoded(self, chunk: bytes) -> bytes:
         m = _PLAIN.fullmatch(chunk)
         if m is None:
-            out = array("I", self.tok.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        elif m[2] is not None:
-            out = self[m[1]] + self[m[2]]
-        else:
-            word = chunk if chunk.isascii() else chunk.decode().lower().encode()
-            word = word.decode("ascii") if word.isascii() else "".join(map(self.letters.__getitem__, word))
-            out = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        self[chunk] = out
-        return out
+            return array("I", self.tok.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if m[2] is not None:
+            return self[m[1]] + self[m[2]]
+        word = chunk if chunk.isascii() else chunk.decode().lower().encode()
+        word = word.decode("ascii") if word.isascii() else "".join(map(self.letters.__getitem__, word))
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def packed(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_chunk:
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) > ENTRIES:
-            self.clear()
         raw = text.encode("utf-8", "replace")
         # "<|" may begin a special token, whose letters must keep their case
         return b"".join(map(self.__getitem__, raw.split() if b"<|" in raw else raw.lower().split()))
