@@ -10,7 +10,7 @@ Shards are flat files of fixed-stride records: slot s is record ``s mod per_shar
 ``s div per_shard`` and begins at byte ``(s mod per_shard) * stride``. A record is the number of its
 ids (4 bytes, big-endian), the ids (little-endian, 2 bytes each where the tokenizer's ids fit, else
 4), PAD up to ``length`` of them, and a line feed. Slots are dealt to tasks by whole shards and
-sorted there. Spark's own text writer puts the bytes down, so its commit makes the write safe to
+sorted there; until then records travel compressed. Spark's own text writer puts the bytes down, so its commit makes the write safe to
 repeat after a lost executor, on any file system that Spark can write to. ``records`` reads shards
 back in the JVM from any slot on, ``stream`` seeks to a slot in files that this machine sees.
 
@@ -29,6 +29,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -67,28 +68,29 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str = DEFAULT_TOKENIZER, end: int = 0) -> DataFrame:
-    """``part, seq, length, parts, record``: the sequences of each task ``part``, numbered there.
-    ``parts`` lists the pieces of documents in it: doc_id, start in the document, offset, length."""
+    """``part, seq, length, parts, packed``: the sequences of each task ``part``, numbered there.
+    ``parts`` lists the pieces of documents in it: doc_id, start in the document, offset, length;
+    ``packed`` is its record, compressed."""
     small_batches(docs.sparkSession)
     width = id_width(tokenizer)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
 
     def cut(batches):
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        tail = int(end).to_bytes(4, "little")
+        tail, z = int(end).to_bytes(4, "little"), zstandard.ZstdCompressor(level=6)
         ids, parts, ready = bytearray(), [], []
 
         def flush():
             cols = list(zip(*ready)) or [()] * 5
             ready.clear()
             arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), kind, pa.binary()))]
-            return pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "length", "parts", "record"])
+            return pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "length", "parts", "packed"])
 
         def close():
             nonlocal seq
             n = len(ids) // width
             ids.extend(int(PAD).to_bytes(width, "little") * (length - n))
-            ready.append((part, seq, n, list(parts), n.to_bytes(_HEAD, "big") + bytes(ids)))
+            ready.append((part, seq, n, list(parts), z.compress(n.to_bytes(_HEAD, "big") + bytes(ids))))
             seq += 1
             ids.clear()
             parts.clear()
@@ -112,7 +114,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str = DEFAULT_TO
             close()
         yield flush()
 
-    kinds = "part int, seq long, length int, parts array<struct<doc_id: long, start: long, offset: int, length: int>>, record binary"
+    kinds = "part int, seq long, length int, parts array<struct<doc_id: long, start: long, offset: int, length: int>>, packed binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, kinds)
 
 
@@ -151,6 +153,13 @@ def _slot(index: Column, n: int, key: int) -> Column:
     return run(index)
 
 
+def _unpacked(batches):
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        data = pa.array([z.decompress(x) for x in b.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], data], names=["slot", "shard", "record"])
+
+
 def training_order(docs: DataFrame, key: int = 20240229, length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str = DEFAULT_TOKENIZER, end: int = 0, path: str | None = None) -> tuple[Shards, DataFrame]:
     """Write the shards of ``docs`` under ``path`` (a new folder of the shared one if none is given).
     Returns where they lie, and ``slot, length, parts`` of every sequence."""
@@ -165,8 +174,9 @@ def training_order(docs: DataFrame, key: int = 20240229, length: int = LENGTH, p
         of = -(-n // per_shard)
         tasks = min(of, MOST_TASKS)
         shard = F.floor(F.col("slot") / per_shard)
-        rows = placed.select("slot", shard.alias("shard"), "record").repartitionById(tasks, F.floor(F.col("shard") * tasks / of).cast("int"))
-        flat = rows.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
+        rows = placed.select("slot", shard.alias("shard"), "packed").repartitionById(tasks, F.floor(F.col("shard") * tasks / of).cast("int"))
+        flat = rows.mapInArrow(_unpacked, "slot long, shard long, record binary").sortWithinPartitions("shard", "slot")
+        flat = flat.select(F.col("record").cast("string").alias("value"), "shard")
         flat.write.partitionBy("shard").option("lineSep", "\n").text(shards.path)
     shards.save(spark)
     return shards, placed.select("slot", "length", "parts")
@@ -179,8 +189,10 @@ def records(spark: SparkSession, shards: Shards, slot: int = 0) -> DataFrame:
         return spark.createDataFrame([], "slot long, shard long, byte_offset long, length long, ids binary")
     files = spark.read.format("binaryFile").load(shards.path).where(F.col("shard") >= slot // shards.per_shard)
     n = F.floor(F.col("length") / shards.stride)
-    cut = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring("content", i * shards.stride + 1, F.lit(shards.stride)))
-    rows = files.select(F.col("shard").cast("long").alias("shard"), F.posexplode(cut).alias("position", "record"))
+    each = F.sequence(F.lit(0), (n - 1).cast("int"))
+    # bound to a variable, so that the shard is not copied out of its row again for every record
+    cut = F.transform(F.array("content"), lambda x: F.transform(each, lambda i: F.substring(x, i * shards.stride + 1, F.lit(shards.stride))))
+    rows = files.select(F.col("shard").cast("long").alias("shard"), F.posexplode(cut[0]).alias("position", "record"))
     size = F.conv(F.hex(F.substring("record", 1, _HEAD)), 16, 10).cast("long")
     rows = rows.select(
         (F.col("shard") * shards.per_shard + F.col("position")).alias("slot"), "shard",
