@@ -7,6 +7,7 @@ matches are other documents of the same text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -147,22 +148,12 @@ def _(spark, d):
     return s1(spark, d).select("entity_id", K.block("country", K.prefix("name", 4)).alias("block4"), K.standard_key("name", "country").alias("first_word"), K.standard_key("name", "country", "prefix_4").alias("prefix_4")).where("first_word is not null")
 
 
-@q("p14_sorted_tokens_key")
-def _(spark, d):
-    return s1(spark, d).select("entity_id", K.standard_key("name", "country", "sorted_tokens").alias("block_key"))
-
-
 @q("p15_p16_tokens", CTE + f""", t AS (SELECT entity_id, string_split(trim(regexp_replace(name, '\\s+', ' ', 'g')), ' ') AS w, string_split_regex(lower(name), '\\s+') AS b FROM s1)
 SELECT entity_id, len(w)::BIGINT AS n_tokens, len(list_distinct(list_filter(b, lambda x: length(x) >= 3 AND x NOT IN {K.BLOCKING_STOPWORDS})))::BIGINT AS n_blocking FROM t""")
 def _(spark, d):
     return s1(spark, d).select("entity_id", F.size(K.tokens("name")).cast("long").alias("n_tokens"), F.size(K.blocking_tokens(F.lower("name"), 3)).cast("long").alias("n_blocking"))
 
 
-@q("p17_p23_accents")
-def _(spark, d):
-    return s1(spark, d).select("entity_id", N.remove_accents("name").alias("plain"))
-
-
 @q("p18_country", "SELECT doc_id, CASE lower(trim(lang)) WHEN 'us' THEN 'US' WHEN 'in' THEN 'IN' WHEN 'fr' THEN 'FR' ELSE upper(trim(lang)) END AS country FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", N.country("lang").alias("country"))
@@ -179,11 +170,6 @@ def _(spark, d):
     return s1(spark, d).select("entity_id", N.transliterate_devanagari("name").alias("t0"), N.transliterate_raw("name").alias("t1"), N.transliterate_schwa("name").alias("t2"), N.transliterate_phonetic("name").alias("t3"), N.transliterate_legal("name").alias("t4"))
 
 
-@q("p27_p28_scripts", r"SELECT doc_id, 'Latin / Other' AS script, NOT regexp_matches(text, '[^\x00-\x7F]') AS ascii_only FROM documents")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", K.script("text").alias("script"), K.ascii_only("text").alias("ascii_only"))
-
-
 @q("p29_p31_ids", "SELECT c_custkey, CAST(regexp_extract(c_name, '[0-9]+', 0) AS BIGINT) AS n, (c_name IS NULL OR trim(c_name) = '' OR lower(trim(c_name)) = 'nan') AS missing FROM customer")
 def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", K.numeric_id("c_name").alias("n"), K.is_missing("c_name").alias("missing"))
@@ -207,12 +193,14 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- blocking rules
+#: the fixed letters as one chain of replacements
+DEVANAGARI_SQL = functools.reduce(lambda e, kv: f"replace({e}, '{kv[0]}', '{kv[1]}')", N.DEVANAGARI.items(), "name")
 _T = {
     "country": "country", "prefix2": f"left({CLEAN.format('name')}, 2)", "prefix3": "left(trim(name), 3)", "prefix4": "left(trim(name), 4)", "token1": "split_part(trim(name), ' ', 1)",
     "root": f"CASE WHEN lower(split_part(trim(name), ' ', 1)) IN {K.COMMON_PREFIXES} AND split_part(trim(name), ' ', 2) <> '' THEN split_part(trim(name), ' ', 2) ELSE split_part(trim(name), ' ', 1) END",
     "house": "regexp_extract(trim(address), '[0-9]+[A-Za-z]?', 0)", "house_norm": "regexp_replace(regexp_extract(trim(address), '[0-9]+[A-Za-z]?', 0), '^0+', '')", "name": "trim(name)", "addr": "trim(address)",
     "clean_name": CLEAN.format("name"), "clean_addr": CLEAN.format("address"), "core": f"regexp_replace({CLEAN.format('name')}, '{K.CORE_SUFFIX}', '')", "zip": f"regexp_extract(address, '{K.POSTAL}', 1)", "addr10": f"left({CLEAN.format('address')}, 10)",
-    "cprefix3": f"left({CLEAN.format('name')}, 3)", "no_suffix": rf"trim(regexp_replace(lower(coalesce(name, '')), '\b({'|'.join(K.NAME_SUFFIXES)})\b', '', 'g'))", "raw_name": "name", "raw_addr": "address",
+    "translit_name": CLEAN.format(DEVANAGARI_SQL), "cprefix3": f"left({CLEAN.format('name')}, 3)", "no_suffix": rf"trim(regexp_replace(lower(coalesce(name, '')), '\b({'|'.join(K.NAME_SUFFIXES)})\b', '', 'g'))", "raw_name": "name", "raw_addr": "address",
 }
 
 
@@ -230,7 +218,7 @@ def _rule_sql(r: blocking.Rule) -> str:
     SELECT target_id, count(*) AS n, min(s1_id) AS first_s1 FROM g GROUP BY target_id"""
 
 
-_RULE_IDS = {"A": "j1", "B": "j2", "C": "j3", "D": "j4", "E": "j5", "F1": "j6", "F2": "j7", "G": "j8", "H": "j9", "I": "j10", "EXP1": "j11", "EXP2": "j12", "EXP4a": "j14", "EXP4b": "j14", "E1_no_suffix": "j15", "E1_pin_house": "j17", "E1_raw_name": "j17", "E1_raw_addr": "j17", "E1_pin_token": "j17"}
+_RULE_IDS = {"A": "j1", "B": "j2", "C": "j3", "D": "j4", "E": "j5", "F1": "j6", "F2": "j7", "G": "j8", "H": "j9", "I": "j10", "EXP1": "j11", "EXP2": "j12", "EXP4a": "j14", "EXP4b": "j14", "E1_no_suffix": "j15", "E2_name5": "j19", "E2_name10": "j19", "E1_pin_house": "j17", "E1_raw_name": "j17", "E1_raw_addr": "j17", "E1_pin_token": "j17"}
 
 
 def _rule_query(name: str):
@@ -245,15 +233,6 @@ for _name, _id in _RULE_IDS.items():
     q(f"{_id}_rule_{_name.lower()}", _rule_sql(blocking.RULES[_name]))(_rule_query(_name))
 
 
-@q("j13_transliterated_prefix", CTE + f""", a AS (SELECT entity_id, country, {CLEAN.format('name')} AS c FROM s1), b AS (SELECT entity_id, country, {CLEAN.format('name')} AS c FROM tgt),
-u AS (SELECT a.entity_id AS s1_id, b.entity_id AS target_id FROM a JOIN b ON a.country = b.country AND left(a.c, 6) = left(b.c, 6) AND a.c <> '' WHERE jaro_winkler_similarity(a.c, b.c) >= 0.8), g AS (SELECT DISTINCT * FROM u), h AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY s1_id) <= 50)
-SELECT s1_id, count(*) AS n FROM h GROUP BY 1""")
-def _(spark, d):
-    side = lambda df, i: df.select(F.col("entity_id").alias(i), "country", K.clean(N.transliterate_devanagari("name")).alias(f"{i}_c")).withColumn("k", F.substring(f"{i}_c", 1, 6)).where("k <> ''")
-    p = side(s1(spark, d), "s1_id").join(side(tgt(spark, d), "target_id"), ["country", "k"]).where(S.jaro_winkler("s1_id_c", "target_id_c") >= 0.8).select("s1_id", "target_id").distinct()
-    return blocking.cap_fanout(p, 50).groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @q("j16_j21_siblings", CTE + f""", t AS (SELECT entity_id, source, country, {CLEAN.format('address')} AS k FROM tgt WHERE length({CLEAN.format('address')}) >= 12)
 SELECT s1_id, count(DISTINCT o.entity_id) AS n FROM pairs JOIN t ON t.entity_id = target_id JOIN t o ON o.country = t.country AND o.k = t.k AND o.source <> t.source GROUP BY s1_id""")
 def _(spark, d):
@@ -269,14 +248,6 @@ def _(spark, d):
     return retrieval.top_k(p.where("score >= 0.85"), 3)
 
 
-@q("j19_j20_shared_address_tokens", CTE + """, k AS (SELECT entity_id, country, left(trim(name), 8) AS k, list_distinct(string_split(address, ' ')) AS w FROM s1), t AS (SELECT entity_id, country, left(trim(name), 8) AS k, list_distinct(string_split(address, ' ')) AS w FROM tgt)
-SELECT k.entity_id AS s1_id, count(*) AS n FROM k JOIN t USING (country, k) WHERE k.k <> '' AND len(list_intersect(k.w, t.w)) >= 2 GROUP BY 1""")
-def _(spark, d):
-    e = lambda df, i: df.select(F.col("entity_id").alias(i), "country", K.prefix("name", 8).alias("k"), F.split("address", " ").alias(f"{i}_w")).where("k <> ''")
-    p = e(s1(spark, d), "s1_id").join(e(tgt(spark, d), "target_id"), ["country", "k"]).where(F.size(F.array_intersect("s1_id_w", "target_id_w")) >= 2)
-    return p.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @q("j22_standard_blocker", "WITH k AS (SELECT p_partkey, p_type || '::' || split_part(p_name, ' ', 1) AS k FROM part), fine AS (SELECT k FROM k GROUP BY k HAVING count(*) <= 200) SELECT k AS block_key, count(*) AS pairs FROM k a JOIN k b USING (k) JOIN fine USING (k) WHERE a.p_partkey <> b.p_partkey GROUP BY k")
 def _(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_type").alias("country"))
@@ -286,15 +257,6 @@ def _(spark, d):
 _TOK = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: length(x) >= 3))"
 
 
-@q("j23_token_index", CTE + f""", a AS (SELECT entity_id, country, unnest({_TOK.format('name')}) AS t FROM s1), b AS (SELECT entity_id, country, unnest({_TOK.format('name')}) AS t FROM tgt), df AS (SELECT country, t, ln(1 + (SELECT count(*) FROM tgt)::DOUBLE / count(*)) AS w FROM b GROUP BY 1, 2 HAVING count(*) <= 50),
-p AS (SELECT a.entity_id AS s1_id, b.entity_id AS target_id, round(sum(w), 4) AS score FROM a JOIN df USING (country, t) JOIN b USING (country, t) GROUP BY 1, 2)
-SELECT s1_id, count(*) AS n, round(sum(score), 4) AS total FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) <= 5) GROUP BY 1""")
-def _(spark, d):
-    t = F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda x: F.length(x) >= 3))
-    hits = retrieval.token_index(s1(spark, d), tgt(spark, d), t, 5, 50)
-    return hits.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
-
-
 @q("j24_tfidf_words")
 def _(spark, d):
     plain = lambda df: df.withColumn("plain", N.retrieval_name("name"))
@@ -306,11 +268,6 @@ def _(spark, d):
     return retrieval.tfidf_top_k(s1(spark, d), tgt(spark, d), retrieval.char_ngrams(F.lower("name")), 5, 1.0, 2, blocked=True)
 
 
-@q("j26_j28_labels_and_folds", CTE + "SELECT s1_id, target_id, (s1_id, target_id) IN (SELECT (s1_id, target_id) FROM truth) AS label FROM pairs")
-def _(spark, d):
-    return linkage.label(pairs(spark, d), truth(spark, d)).select("s1_id", "target_id", (F.col("label") == 1).alias("label"))
-
-
 @q("j30_j33_missed_truth", CTE + "SELECT s1_id, target_id FROM truth EXCEPT SELECT s1_id, target_id FROM scored WHERE score >= 0.999999")
 def _(spark, d):
     return truth(spark, d).join(scored(spark, d).where("score < 0.999999"), ["s1_id", "target_id"], "left_semi").unionByName(truth(spark, d).join(pairs(spark, d), ["s1_id", "target_id"], "left_anti")).distinct()
@@ -330,11 +287,6 @@ def _(spark, d):
     return a.join(b, "lang", "full_outer").na.fill(0, ["n", "m"])
 
 
-@q("j35_random_pairs")
-def _(spark, d):
-    return blocking.random_pairs(s1(spark, d), tgt(spark, d))
-
-
 # ---------------------------------------------------------------- similarity and features
 _FEATURES_SQL = CTE + """, x AS (SELECT p.s1_id, p.target_id, a.name AS n1, b.name AS n2, a.address AS a1, b.address AS a2, a.country AS c1, b.country AS c2 FROM pairs p JOIN s1 a ON a.entity_id = s1_id JOIN tgt b ON b.entity_id = target_id)
 SELECT s1_id, target_id, CASE WHEN n1 <> '' AND n1 = n2 THEN 1.0 ELSE 0.0 END::DOUBLE AS name_exact_match, round(jaro_winkler_similarity(n1, n2) / 100.0, 9) AS name_jaro_winkler, round(CASE WHEN length(n1) >= 2 AND length(n2) >= 2 THEN jaccard(n1, n2) ELSE 0.0 END, 9) AS name_jaccard,
@@ -352,11 +304,6 @@ def _(spark, d):
     return x.select("s1_id", "target_id", *(F.round(n, 9).alias(n) for n in features.NAMES))
 
 
-@q("s1_s6_compact_features")
-def _(spark, d):
-    return features.compact(features.attach(pairs(spark, d), s1(spark, d), tgt(spark, d))).drop("s1_name", "s1_address", "s1_country", "tgt_name", "tgt_address", "tgt_country")
-
-
 @q("s1_s3_set_similarity", CTE + """, x AS (SELECT s1_id, target_id, list_distinct(string_split(a.address, ' ')) AS u, list_distinct(string_split(b.address, ' ')) AS v FROM pairs JOIN s1 a ON a.entity_id = s1_id JOIN tgt b ON b.entity_id = target_id)
 SELECT s1_id, target_id, round(len(list_intersect(u, v))::DOUBLE / (len(u) + len(v) - len(list_intersect(u, v))), 6) AS jaccard, round(len(list_intersect(u, v))::DOUBLE / least(len(u), len(v)), 6) AS overlap FROM x""")
 def _(spark, d):
@@ -575,11 +522,6 @@ def _(spark, d):
     return audit.key_agreement(x, k).withColumns({c: F.round(c, 6) for c in k})
 
 
-@q("m31_validate_submission", CTE + "SELECT unnest(['duplicate_rows', 'null_ids', 'missing_rows', 'unknown_rows', 'duplicate_matches', 'malformed_ids', 'unknown_targets']) AS check, 0::BIGINT AS failures")
-def _(spark, d):
-    return decide.validate(decide.submission(universe(spark, d), decide.exclusive(scored(spark, d))), universe(spark, d), tgt(spark, d))
-
-
 # ---------------------------------------------------------------- decisions and learning
 @q("d2_resolve_claims", CTE + ", x AS (SELECT *, count(*) OVER (PARTITION BY target_id) AS n, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, s1_id) AS r FROM scored) SELECT s1_id, target_id FROM x WHERE n = 1 OR r = 1")
 def _(spark, d):
@@ -640,3 +582,6 @@ def _(spark, d):
 def _(spark, d):
     x = linkage.label(scored(spark, d), truth(spark, d))
     return learn.apply_calibration(learn.calibrate(x), x).select("s1_id", "target_id", F.round("prob", 6).alias("prob"))
+
+
+from . import catalog_more as _more  # noqa: E402, F401

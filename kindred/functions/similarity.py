@@ -27,10 +27,16 @@ def token_overlap(a, b) -> Column:
 
 
 def ngrams(text, n: int = 3) -> Column:
-    """Distinct character n-grams; a shorter text is its own only one, an empty one has none."""
+    """Distinct character n-grams; a shorter text is its own only one, an empty one has none. The text
+    is cut into characters once, so that a long one costs time in proportion to its length."""
     t = _c(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    # bound to a variable: cut once, not once a gram
+    def grams(chars: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
+        return F.transform(at, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+
+    made = F.transform(F.array(F.split(t, "")), grams)[0]
+    return F.when(F.length(t) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
 def char_ngram_jaccard(a, b, n: int = 3) -> Column:

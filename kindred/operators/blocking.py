@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..functions import normal as N
 from ..functions import similarity as S
 
 KEYS: dict[str, Callable[[], Column]] = {
@@ -22,6 +23,7 @@ KEYS: dict[str, Callable[[], Column]] = {
     "token1": lambda: K.first_token("name"), "root": lambda: K.root_token("name"), "house": lambda: K.house("address"), "house_norm": lambda: K.house_norm("address"),
     "name": lambda: F.trim("name"), "addr": lambda: F.trim("address"), "clean_name": lambda: K.clean("name"), "clean_addr": lambda: K.clean("address"),
     "core": lambda: K.core_name("name"), "zip": lambda: K.postal_code("address"), "addr10": lambda: F.substring(K.clean("address"), 1, 10), "cprefix3": lambda: F.substring(K.clean("name"), 1, 3),
+    "translit_name": lambda: K.clean(N.transliterate_devanagari("name")), "translit4": lambda: F.substring(K.clean(N.transliterate_devanagari("name")), 1, 4),
     "no_suffix": lambda: K.name_no_suffix("name"), "raw_name": lambda: F.col("name"), "raw_addr": lambda: F.col("address"),
 }
 
@@ -56,6 +58,8 @@ RULES = {r.name: r for r in (
     Rule("EXP4a", ("country", "addr10", "cprefix3"), (("addr10", 10), ("cprefix3", 3))),
     Rule("EXP4b", ("country", "zip", "root"), (("zip", 5), ("root", 4))),
     Rule("E1_no_suffix", ("country", "no_suffix"), cluster=5),
+    Rule("E2_name5", ("country", "translit_name"), cluster=5),
+    Rule("E2_name10", ("country", "translit_name"), cluster=10),
     Rule("E1_pin_house", ("country", "zip", "house")),
     Rule("E1_raw_name", ("country", "raw_name"), (("raw_name", 6),)),
     Rule("E1_raw_addr", ("country", "raw_addr"), (("raw_addr", 12),)),
@@ -127,8 +131,32 @@ def block_statistics(df: DataFrame, key: str) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("rows"), F.max("n").alias("largest"), F.avg("n").alias("mean"), F.median("n").alias("median"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"))
 
 
-def random_pairs(a: DataFrame, b: DataFrame, keep: int = 1000) -> DataFrame:
-    """Pairs at random for negatives: each record of ``a`` meets one of ``b`` by hash order, not a
-    product of both."""
-    n = lambda df, i: df.select(F.col("entity_id").alias(i)).withColumn("r", F.row_number().over(W.orderBy(F.sha2(i, 256), i)))
-    return n(a.orderBy(F.sha2("entity_id", 256)).limit(keep), "s1_id").join(n(b.orderBy(F.sha2("entity_id", 256)).limit(keep), "target_id"), "r").where("s1_id <> target_id").drop("r")
+def random_pairs(a: DataFrame, b: DataFrame, modulo: int = 100, keep: int = 1000) -> DataFrame:
+    """Pairs at random for negatives: of the ``keep`` first records of either side by hash, the pairs
+    whose hashes agree modulo ``modulo``. An equi-join finds them, not a product of both samples."""
+    bucket = F.pmod(F.conv(F.substring(F.sha2("entity_id", 256), 17, 8), 16, 10).cast("bigint"), F.lit(modulo))
+    some = lambda df, i: df.orderBy(F.sha2("entity_id", 256)).limit(keep).select(F.col("entity_id").alias(i), bucket.alias("r"))
+    return some(a, "s1_id").join(some(b, "target_id"), "r").drop("r")
+
+
+def transliterated(s1: DataFrame, target: DataFrame, country: str = "India", similar: float = 0.80, cap: int = 50) -> DataFrame:
+    """Equal house number and first two letters of the transliterated name, names alike; united, for
+    one country, with equal house number and postal code. Two equi-joins, then one cap."""
+
+    def side(df: DataFrame, ident: str) -> DataFrame:
+        name = K.clean(N.transliterate_devanagari("name"))
+        out = df.select(F.col("entity_id").alias(ident), "country", K.house_norm("address").alias("house"), K.postal_code("address").alias("postal"), name.alias(f"{ident}_n"))
+        return out.where("house <> ''").withColumn("start", F.substring(f"{ident}_n", 1, 2))
+
+    left, right = side(s1, "s1_id"), side(target, "target_id")
+    named = left.where("start <> ''").drop("postal").join(right.drop("postal"), ["country", "house", "start"])
+    named = named.where(S.jaro_winkler("s1_id_n", "target_id_n") >= similar).select("s1_id", "target_id")
+    placed = left.where((F.col("country") == country) & (F.col("postal") != "")).join(right, ["country", "house", "postal"])
+    return cap_fanout(named.unionByName(placed.select("s1_id", "target_id")).distinct(), cap)
+
+
+def shared_address_tokens(s1: DataFrame, target: DataFrame, least: int = 2) -> DataFrame:
+    """Equal first four letters of the transliterated name and at least so many address words in common."""
+    side = lambda df, i: df.select(F.col("entity_id").alias(i), "country", KEYS["translit4"]().alias("k"), F.split("address", " ").alias(f"{i}_w")).where("k <> ''")
+    pairs = side(s1, "s1_id").join(side(target, "target_id"), ["country", "k"])
+    return pairs.where(F.size(F.array_intersect("s1_id_w", "target_id_w")) >= least).select("s1_id", "target_id")

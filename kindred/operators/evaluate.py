@@ -152,3 +152,41 @@ def parity(a: DataFrame, b: DataFrame, columns: list[str], shift: float = 25.0)
 def score_difference(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     x = a.select("s1_id", "target_id", F.col("score").alias("x")).join(b.select("s1_id", "target_id", F.col("score").alias("y")), ["s1_id", "target_id"])
     return x.agg(F.count(F.lit(1)).alias("pairs"), F.max(F.abs(F.col("x") - F.col("y"))).alias("largest"), F.percentile(F.abs(F.col("x") - F.col("y")), F.lit(0.5)).alias("median"), F.count(F.when((F.col("x") >= threshold) != (F.col("y") >= threshold), 1)).alias("flips"))
+
+
+def slices(counts: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """A row for each named slice of ``counts(a, p, tp)``: entities, macro F0.5, least and greatest F,
+    truths and predictions. Rows are spread over their slices once, so one aggregate answers all."""
+    of = F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items())), lambda x: x.isNotNull()))
+    x = counts.withColumn("f", f05()).withColumn("slice", of)
+    return x.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("entities"), F.avg("f").alias("macro_f05"), F.min("f").alias("least"), F.max("f").alias("greatest"),
+        F.sum("a").alias("truths"), F.sum("p").alias("predicted"), F.sum("tp").alias("tp"),
+    )
+
+
+def missed_pairs(truth: DataFrame, pairs: DataFrame, s1: DataFrame, target: DataFrame, most: int = 50) -> DataFrame:
+    """The first ``most`` true pairs, by id, that no candidate covers, with names and addresses of both."""
+    gone = truth.select("s1_id", "target_id").distinct().join(pairs, ["s1_id", "target_id"], "left_anti").orderBy("s1_id", "target_id").limit(most)
+    side = lambda df, i, p: df.select(F.col("entity_id").alias(i), F.col("name").alias(f"{p}_name"), F.col("address").alias(f"{p}_address"))
+    return gone.join(side(s1, "s1_id", "s1"), "s1_id", "left").join(side(target, "target_id", "tgt"), "target_id", "left")
+
+
+def labelled_sample(labelled: DataFrame, positives: int, negatives: int) -> DataFrame:
+    """So many pairs of either label, those with the smallest hash of both ids."""
+    order = W.partitionBy("label").orderBy(F.sha2(F.concat_ws("|", "s1_id", "target_id"), 256))
+    most = F.when(F.col("label") == 1, positives).otherwise(negatives)
+    return labelled.withColumn("kd_r", F.row_number().over(order)).where(F.col("kd_r") <= most).drop("kd_r")
+
+
+def margin_grid(universe: DataFrame, truth: DataFrame, scored: DataFrame, thresholds: list[float], margins: list[float]) -> DataFrame:
+    """``threshold, margin`` and macro F0.5 of predicting what reaches the threshold and lies within
+    the margin of its record's best: the best is a window, each pair is dealt to the settings it meets."""
+    t = truth.select("s1_id", "target_id").distinct()
+    a = t.groupBy("s1_id").agg(F.count(F.lit(1)).alias("a"))
+    grid = F.explode(F.array(*(F.struct(F.lit(x).alias("threshold"), F.lit(y).alias("margin")) for x in thresholds for y in margins))).alias("g")
+    x = scored.withColumn("gap", F.round(F.max("score").over(W.partitionBy("s1_id")) - F.col("score"), 9)).join(t.withColumn("t", F.lit(1)), ["s1_id", "target_id"], "left")
+    met = x.select("s1_id", "score", "gap", "t", grid).where("score >= g.threshold and gap <= g.margin").groupBy("s1_id", "g").agg(F.count(F.lit(1)).alias("p"), F.count("t").alias("tp"))
+    every = universe.select("s1_id").distinct().join(a, "s1_id", "left").select("s1_id", "a", grid)
+    rows = every.join(met, ["s1_id", "g"], "left").na.fill(0, ["a", "p", "tp"]).withColumn("f", f05())
+    return rows.groupBy("g.threshold", "g.margin").agg(F.avg("f").alias("macro_f05"), F.sum("p").alias("predicted"), F.sum("tp").alias("tp"))

@@ -115,3 +115,15 @@ def with_position(df: DataFrame, order: str) -> DataFrame:
 
 def only_known(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
+def read_inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A delimited file with a header, its types inferred by a pass over all of it."""
+    return spark.read.option("header", True).option("inferSchema", True).option("sep", sep).csv(path)
+
+
+def write_manifest(spark: SparkSession, path: str, facts: dict[str, str | int | float]) -> None:
+    """One line of JSON about how a table came to be, beside it."""
+    import json
+
+    spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

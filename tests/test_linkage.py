@@ -130,3 +130,65 @@ def test_streaming_link(spark, tmp_path):
 
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_ngrams_of_long_and_short_texts(spark):
+    from kindred.functions import similarity as S
+
+    df = spark.createDataFrame([("abab",), ("é",), ("",), (None,), ("xy" * 20000,)], "t string")
+    got = [r[0] for r in df.select(S.ngrams("t", 3)).collect()]
+    assert got[:3] == [["aba", "bab"], ["é"], []] and not got[3] and sorted(got[4]) == ["xyx", "yxy"]
+
+
+def test_compact_features_of_records(spark):
+    from kindred.operators import features
+
+    kind = "entity_id string, name string, address string, country string"
+    a = spark.createDataFrame([("S1-1", "Acme Limited", "12 Main Street", "US"), ("S1-2", "", None, "FR")], kind)
+    b = spark.createDataFrame([("S2-1", "ACME Ltd.", "12 Main St", "us"), ("S2-2", "Other", "7 Rue X", "FR")], kind)
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-2")], "s1_id string, target_id string")
+    rows = {r["s1_id"]: r for r in features.compact(pairs, a, b).collect()}
+    x, y = rows["S1-1"], rows["S1-2"]
+    assert x["name_exact_match"] == x["name_jaccard"] == x["name_trigram_jaccard"] == x["name_seq_ratio"] == x["address_exact_match"] == x["address_number_match"] == x["country_match"] == 1.0
+    assert y["name_exact_match"] == y["name_jaccard"] == y["name_trigram_jaccard"] == y["address_number_match"] == 0.0
+
+
+def test_transliterated_channels(spark):
+    from kindred.operators import blocking
+
+    kind = "entity_id string, name string, address string, country string"
+    a = spark.createDataFrame([("S1-1", "kamal", "12 Marg 110001", "India"), ("S1-2", "zz", "9 Road 110002", "India"), ("S1-3", "kamal", "12 Marg", "US")], kind)
+    b = spark.createDataFrame([("S2-1", "कामल", "12 Marg", "India"), ("S2-2", "other", "9 Road 110002", "India"), ("S2-3", "other", "12 x", "US")], kind)
+    got = {tuple(r) for r in blocking.transliterated(a, b, similar=0.7).collect()}
+    assert got == {("S1-1", "S2-1"), ("S1-2", "S2-2")}
+    assert [tuple(r) for r in blocking.shared_address_tokens(a, b).collect()] == []  # "kaml" and "kama" differ
+    assert blocking.candidates(a.where("name = 'kamal'"), a.withColumn("entity_id", a.name), blocking.RULES["E2_name5"]).count() == 2
+
+
+def test_slices_samples_and_grid(spark):
+    from pyspark.sql import functions as F
+
+    from kindred.operators import evaluate
+
+    counts = spark.createDataFrame([(0, 0, 0), (2, 1, 1), (1, 3, 0)], "a long, p long, tp long")
+    got = {r["slice"]: r for r in evaluate.slices(counts, {"all": F.lit(True), "none": F.col("a") == 0, "never": F.col("a") > 9}).collect()}
+    assert set(got) == {"all", "none"} and got["all"]["entities"] == 3 and got["all"]["least"] == 0.0 and got["none"]["macro_f05"] == 1.0
+    lab = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", int(i < 5)) for i in range(30)], "s1_id string, target_id string, label int")
+    assert sorted(r[0] for r in evaluate.labelled_sample(lab, 3, 7).groupBy("label").count().select("count").collect()) == [3, 7]
+    u = spark.createDataFrame([("x",), ("y",)], "s1_id string")
+    t = spark.createDataFrame([("x", "t1")], "s1_id string, target_id string")
+    s = spark.createDataFrame([("x", "t1", 0.9), ("x", "t2", 0.85)], "s1_id string, target_id string, score double")
+    grid = {(r["threshold"], r["margin"]): round(r["macro_f05"], 6) for r in evaluate.margin_grid(u, t, s, [0.8, 0.95], [0.0, 0.1]).collect()}
+    assert grid == {(0.8, 0.0): 1.0, (0.8, 0.1): round((5 / 9 + 1) / 2, 6), (0.95, 0.0): 0.5, (0.95, 0.1): 0.5}
+
+
+def test_inferred_read_and_manifest(spark, tmp_path):
+    import json
+
+    from kindred.sources import tables
+
+    (tmp_path / "a.csv").write_text("id,score,name\n1,0.5,x\n2,1.5,y\n")
+    df = tables.read_inferred(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"id": "int", "score": "double", "name": "string"} and df.count() == 2
+    tables.write_manifest(spark, str(tmp_path / "m"), {"rows": 2, "source": "a.csv"})
+    assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"rows": 2, "source": "a.csv"}
