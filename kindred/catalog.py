@@ -395,15 +395,21 @@ def _(spark, d):
     return tables.truth_pairs(o.select(F.concat(F.lit("S1-"), "o_custkey").alias("source1_entity_id"), "matched_entity_ids"))
 
 
-@q("io19_id_lists", "SELECT doc_id, ['S2-' || doc_id, 'S3-' || (doc_id + 1)]::VARCHAR AS ids FROM documents")
+@q("io19_id_lists", "SELECT doc_id, ['S2-' || doc_id, 'S3-' || (doc_id + 1)]::VARCHAR AS ids, CASE WHEN doc_id % 3 = 0 THEN 'dup' ELSE '' END AS junk FROM documents")
 def _(spark, d):
-    messy = F.concat(F.lit("['S2-"), "doc_id", F.lit("'| \"S3-"), (F.col("doc_id") + 1).cast("string"), F.lit('"]'))
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(tables.id_list(messy), ", "), F.lit("]")).alias("ids"))
+    note = F.when(F.col("doc_id") % 3 == 0, " (dup)").otherwise("")
+    messy = F.concat(F.lit("['S2-"), "doc_id", F.lit("'"), note, F.lit("| \"S3-"), (F.col("doc_id") + 1).cast("string"), F.lit('"]'))
+    ids = F.concat(F.lit("["), F.array_join(tables.id_list(messy), ", "), F.lit("]"))
+    return table(spark, d, "documents").select("doc_id", ids.alias("ids"), tables.id_list_junk(messy).alias("junk"))
 
 
-@q("io22_fingerprint")
+@q(
+    "io22_fingerprint",
+    """WITH h AS (SELECT sha256(coalesce(length(o_orderkey::VARCHAR) || ':' || o_orderkey, 'N') || coalesce(length(o_orderstatus) || ':' || o_orderstatus, 'N')) AS h FROM orders)
+    SELECT count(*) AS rows, sum(('0x' || left(h, 15))::BIGINT)::VARCHAR AS digest FROM h""",
+)
 def _(spark, d):
-    return tables.fingerprint(table(spark, d, "orders").select(F.col("o_orderkey").cast("string"), "o_orderstatus"), "o_orderkey", "o_orderstatus")
+    return tables.fingerprint(table(spark, d, "orders"), "o_orderkey", "o_orderstatus")
 
 
 # ---------------------------------------------------------------- evaluation

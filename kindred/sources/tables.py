@@ -84,9 +84,21 @@ def find_columns(df: DataFrame, sample: int = 5000) -> dict[str, list[str]]:
 
 
 def id_list(text) -> Column:
-    """Ids of any list spelling: commas, bars, brackets, quotes, or one character a cell."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.regexp_replace(c, "[^A-Za-z0-9-]", ""), F.lit(r"S[123]-\d+?(?=S|\z)"), F.lit(0))
+    """Target ids of any list spelling: commas, bars, brackets, quotes, or one character a cell; other
+    text between them is passed over."""
+    return F.regexp_extract_all(_joined_cells(text), F.lit(TARGET_ID), F.lit(0))
+
+
+def id_list_junk(text) -> Column:
+    """What an id list holds besides target ids and separators, empty for a clean one."""
+    return F.regexp_replace(_joined_cells(text), TARGET_ID, "")
+
+
+TARGET_ID = r"S[23]-\d+"
+
+
+def _joined_cells(text) -> Column:
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, "[^A-Za-z0-9-]", "")
 
 
 def truth_pairs(truth: DataFrame, text: str = "matched_entity_ids") -> DataFrame:
@@ -102,8 +114,10 @@ def truth_lists(truth: DataFrame, text: str = "matched_entity_ids") -> DataFrame
 
 
 def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
-    """One row ``rows, digest``: the same for the same rows in any order, summed from row hashes."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\u0001", *columns), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    """One row ``rows, digest``: the same for the same rows in any order, summed from row hashes. Every
+    value carries its length and a null its mark, so that no two rows read alike."""
+    cells = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("N")) for c in columns]
+    h = F.conv(F.substring(F.sha2(F.concat(*cells), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest"))
 
 

@@ -192,3 +192,12 @@ def test_inferred_read_and_manifest(spark, tmp_path):
     assert dict(df.dtypes) == {"id": "int", "score": "double", "name": "string"} and df.count() == 2
     tables.write_manifest(spark, str(tmp_path / "m"), {"rows": 2, "source": "a.csv"})
     assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"rows": 2, "source": "a.csv"}
+
+
+def test_id_lists_with_other_text_and_fingerprints_of_nulls(spark):
+    from kindred.sources import tables
+
+    assert _one(spark, ["S2-1 (dup)", "S1-4,S2-5", "S3-2"], tables.id_list) == [["S2-1"], ["S2-5"], ["S3-2"]]
+    assert _one(spark, ["S2-1 (dup)", "S1-4,S2-5", "S3-2"], tables.id_list_junk) == ["dup", "S1-4", ""]
+    print_of = lambda rows: tables.fingerprint(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()["digest"]
+    assert len({print_of([r]) for r in ((None, "x"), ("x", None), ("x", ""), ("", "x"), (None, None), ("", ""))}) == 6
