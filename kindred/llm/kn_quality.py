@@ -1,15 +1,20 @@
-"""Quality by an interpolated modified Kneser-Ney model over characters.
+"""Quality by an interpolated modified Kneser-Ney model over the code points of trusted text.
 
-Trusted text (``labels.quality = 1``) is counted in 4-grams of ALPHABET character classes. The
-orders below, contexts and discounts come from equi-joins of count tables sharded by n-gram, and so
-do the interpolated probabilities of all n-grams that occur; the finished model is a table of at
-most ALPHABET^4 cells whatever the input, and every document is scored against it in one pass over
-its whole text. Each language has its own threshold, a quantile of the perplexity of its trusted
-documents, read off an exact histogram.
+Trusted text (``labels.quality = 1``) is counted in ORDER-grams of code points as they stand, of any
+script, so the count tables grow with the corpus. Lower orders, contexts and discounts come from
+equi-joins of count tables sharded by n-gram. Documents are packed into blocks of up to BLOCK code
+points; a block asks for each of its distinct n-grams once, the n-grams that any block asks for meet
+the count tables order by order, and the answers go back to the blocks, where whole texts are scored.
+Nothing is broadcast or collected but counts of counts (ten numbers an order).
+
+No document is scored by counts of its own text: documents fall into two halves by crc32 of doc_id,
+and each half is scored by the trusted text of the other. So the threshold of a language, a quantile
+of the perplexity of its trusted documents, holds for documents that nobody labelled.
 
 Defined results: null and empty texts have no bits and are not kept; a null language is one of its
 own; a language without trusted text takes the threshold of all; without any trusted text all
-texts with a character are kept; rows are independent; an empty table gives no rows.
+texts with a character are kept; a null doc_id is in the first half; a half whose other half has no
+trusted text has uniform bits; rows are independent, repeated rows repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,158 +24,223 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window as W
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import settle, sift, small_batches
 
 ORDER = 4
-ALPHABET = 48
 QUANTILE = 0.995
-#: bits are compared in thousandths
+#: bits are whole thousandths
 UNIT = 1000
-
-_CLASS = np.full(65536, 47, np.uint8)  # any other code point
-_CLASS[0:33] = 0  # space
-for _i in range(26):
-    _CLASS[65 + _i] = _CLASS[97 + _i] = 1 + _i
-_CLASS[48:58] = 27
-for _c in range(33, 127):
-    if not chr(_c).isalnum():
-        _CLASS[_c] = 31
-for _c, _k in ((".", 28), (",", 29), ("!", 30)):
-    _CLASS[ord(_c)] = _k
-for _c, _k in zip("éèêàçñóíáöüäßâîû", range(32, 47 + 1)):
-    _CLASS[ord(_c)] = _CLASS[ord(_c.upper()[0])] = min(_k, 46)
-_CLASS[ord("S")] = 19  # upper case of ß begins with it
-
-
-def classes(text: str | None) -> np.ndarray:
-    """The character classes of a text, three spaces before it."""
-    cp = np.frombuffer((text or "").encode("utf-32-le", "replace"), "<u4")
-    return np.concatenate([np.zeros(ORDER - 1, np.uint8), _CLASS[np.minimum(cp, 65535)]])
-
-
-def _codes(c: np.ndarray) -> np.ndarray:
-    x = c.astype(np.int64)
-    return ((x[:-3] * ALPHABET + x[1:-2]) * ALPHABET + x[2:-1]) * ALPHABET + x[3:]
+#: code points of a block of documents (one longer text is a block of its own), and of what is sorted at once
+BLOCK = 1 << 23
+PIECE = 1 << 20
+#: n-grams that a counting task holds before it hands them on
+HELD = 1 << 20
+#: stands ORDER - 1 times before each text
+START = "\x02"
+
+
+def half() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(2)).cast("int")
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams that end at each code point of the texts, by pieces of about PIECE code points:
+    distinct n-grams, the number of each in order of place, the texts and where each begins there."""
+    pad = np.full(ORDER - 1, ord(START), "<u4")
+    held, owner, size = [], [], 0
+    for i, t in enumerate(texts):
+        c = np.concatenate([pad, np.frombuffer(t.encode("utf-32-le", "replace"), "<u4")])
+        for at in range(0, len(c) - ORDER + 1, PIECE):
+            held.append(c[at : at + PIECE + ORDER - 1])
+            owner.append(i)
+            size += len(held[-1])
+            if size >= PIECE:
+                yield _numbered(held, owner)
+                held, owner, size = [], [], 0
+    if held:
+        yield _numbered(held, owner)
+
+
+def _numbered(held: list[np.ndarray], owner: list[int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    c = np.concatenate(held)
+    letters, c_id = np.unique(c, return_inverse=True)
+    n, bound = len(c) - ORDER + 1, len(letters)
+    code = c_id[:n].astype(np.int64)
+    for j in range(1, ORDER):
+        if bound * len(letters) >= 1 << 62:  # number anew what occurs
+            seen, code = np.unique(code, return_inverse=True)
+            bound = len(seen)
+        code = code * len(letters) + c_id[j : j + n]
+        bound *= len(letters)
+    ends = np.cumsum([len(h) for h in held])
+    inside = np.ones(n, bool)
+    for back in range(1, ORDER):  # n-grams across two texts
+        inside[ends[:-1] - back] = False
+    place = np.flatnonzero(inside)
+    _, first, number = np.unique(code[place], return_index=True, return_inverse=True)
+    flat = c[place[first][:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
+    begins = np.concatenate([[0], np.cumsum([len(h) - ORDER + 1 for h in held])[:-1]])
+    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], number, np.array(owner), begins
 
 
 def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``g, n``: counts of 4-grams over the documents of ``trusted(doc_id)``. Texts that may be trusted
-    travel to the join as compressed classes, the others not at all."""
+    """``m, g, n``: n-grams over the documents of ``trusted(doc_id)``, m the half they score (the one
+    they are not in). Texts that may be trusted travel compressed to the join, the others not at all."""
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def squeeze(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.array([z.compress(classes(t).tobytes()) for t in b.to_pylist()], pa.binary())
+            yield pa.array([z.compress((t or "").encode()) for t in b.to_pylist()], pa.binary())
 
     def count(batches):
         z = zstandard.ZstdDecompressor()
-        total = np.zeros(ALPHABET**4, np.int64)
+        total = ({}, {})
+
+        def hand_on(m):
+            t = total[m]
+            keys, values = list(t), list(t.values())
+            t.clear()
+            for i in range(0, len(keys), 50_000):
+                part = keys[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(part), pa.int32()), pa.array(part), pa.array(values[i : i + 50_000], pa.int64())], names=["m", "g", "n"])
+
         for b in batches:
-            for x in b.column(0).to_pylist():
-                codes = _codes(np.frombuffer(z.decompress(x), np.uint8))
-                if len(codes) > len(total) // 8:
-                    total += np.bincount(codes, minlength=len(total))
-                else:
-                    np.add.at(total, codes, 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], names=["g", "n"])
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            for m in (0, 1):
+                t = total[m]
+                for grams, number, _, _ in pieces([z.decompress(x).decode() for h, x in rows if h == 1 - m]):
+                    for g, n in zip(grams, np.bincount(number).tolist()):
+                        t[g] = t.get(g, 0) + n
+                    if len(t) >= HELD:
+                        yield from hand_on(m)
+        yield from hand_on(0)
+        yield from hand_on(1)
 
     few, _ = sift(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted, "doc_id")
-    return few.select("doc_id", squeeze("text").alias("z")).join(trusted.hint("merge"), "doc_id", "left_semi").select("z").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def probabilities(counts: DataFrame) -> DataFrame:
-    """``g, p``: interpolated modified Kneser-Ney probability of each counted 4-gram's last character,
-    and ``unseen(context)`` rows as lower orders; all by joins of count tables on n-grams."""
-    a = ALPHABET
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # how many characters precede: continuation counts
-        tables[k] = tables[k + 1].select(F.pmod(F.col("g"), F.lit(a**k)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    lower = None
-    out = []
+    texts = few.select("doc_id", half().alias("half"), squeeze("text").alias("z")).join(trusted.hint("merge"), "doc_id", "left_semi")
+    return texts.select("half", "z").mapInArrow(count, "m int, g string, n long").groupBy("m", "g").agg(F.sum("n").alias("n"))
+
+
+def _cut(n: Column, d: dict) -> Column:
+    """The discount of a count, by model."""
+    out = F.lit(0.0)
+    for (m, i), v in d.items():
+        out = F.when((F.col("m") == m) & (F.least(n, F.lit(3)) == i), v).otherwise(out)
+    return out
+
+
+def bits_of(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``m, g, bits`` for each distinct row of ``asked(m, g)``: the interpolated modified Kneser-Ney cost
+    of the last code point of g, in 1/UNIT bits, by joins of count tables on n-grams. What counts do not
+    hold backs off to lower orders, at last to one of the code points known or any other."""
+    tables, wanted = {ORDER: counts}, {ORDER: asked}
+    for k in range(ORDER - 1, 0, -1):  # how many code points precede: continuation counts
+        tables[k] = settle(tables[k + 1].groupBy("m", F.substring("g", 2, k).alias("g")).agg(F.count(F.lit(1)).alias("n")))
+        wanted[k] = wanted[k + 1].select("m", F.substring("g", 2, k).alias("g")).distinct()
+    known = dict(tables[1].groupBy("m").count().collect())
+    p = None
     for k in range(1, ORDER + 1):
-        t = settle(tables[k])
-        n = [t.where(F.col("n") == i).count() for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
-        d = [0.0] + [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.0), i + 1.0) if n[i] else y for i in range(3)]
-        cut = F.when(F.col("n") == 1, d[1]).when(F.col("n") == 2, d[2]).otherwise(d[3])
-        context = F.floor(F.col("g") / a).cast("long")
-        sums = t.groupBy(context.alias("h")).agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
-        if lower is None:
-            p = t.crossJoin(F.broadcast(sums.drop("h"))).select("g", ((F.col("n") - cut) / F.col("total") + F.col("freed") / F.col("total") / a).alias("p"))
+        t = tables[k]
+        of = {(r[0], r[1]): r[2] for r in t.where("n <= 4").groupBy("m", "n").count().collect()}
+        d = {}
+        for m in (0, 1):
+            n = [of.get((m, i), 0) for i in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
+            for i in range(3):
+                d[m, i + 1] = min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.0), i + 1.0) if n[i] else y
+        cut = _cut(F.col("n"), d)
+        sums = t.groupBy("m", F.substring("g", 1, k - 1).alias("h")).agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
+        seen = t.select("m", "g", (F.col("n") - cut).alias("left"))
+        q = wanted[k].join(seen, ["m", "g"], "left").withColumn("h", F.substring("g", 1, k - 1)).join(sums, ["m", "h"], "left")
+        if p is None:
+            q = q.withColumn("q", F.lit(1.0) / (F.when(F.col("m") == 0, known.get(0, 0)).otherwise(known.get(1, 0)) + 1))
         else:
-            p = t.withColumn("h", context).join(sums, "h").withColumn("s", F.pmod(F.col("g"), F.lit(a ** (k - 1)))).join(lower.select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
-            p = p.select("g", ((F.col("n") - cut) / F.col("total") + F.col("freed") / F.col("total") * F.col("q")).alias("p"))
-        lower = settle(p)
-        out.append(lower.select(F.lit(k).alias("k"), "g", "p"))
-        # what a context leaves to characters not seen after it
-        out.append(sums.select(F.lit(-k).alias("k"), F.col("h").alias("g"), (F.col("freed") / F.col("total")).alias("p")))
-    table = out[0]
-    for o in out[1:]:
-        table = table.unionByName(o)
-    return table
-
-
-def bits_table(model: DataFrame) -> np.ndarray:
-    """Bits of the last character of every possible 4-gram: ALPHABET^4 numbers."""
-    got = model.toArrow()  # at most a^4 + 2 a^3 + ... rows
-    k, g, p = (got.column(c).to_numpy() for c in ("k", "g", "p"))
-    a = ALPHABET
-    dense = np.full(1, 1.0 / a, np.float32)
-    for order in range(1, ORDER + 1):
-        left = np.ones(a ** (order - 1), np.float32)
-        at = k == -order
-        left[g[at] if order > 1 else np.zeros(at.sum(), np.int64)] = p[at]
-        tail = np.tile(dense, a ** (order - 1) // (len(dense) // a) if order > 1 else a)[: a**order]
-        dense = np.repeat(left, a) * tail
-        at = k == order
-        dense[g[at]] = p[at]
-    return (-np.log2(np.maximum(dense, 1e-9))).astype(np.float32)
-
-
-def perplexity(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``doc_id, lang, n_chars, bits`` per row; bits is the mean per character, in 1/UNIT."""
+            q = q.withColumn("s", F.substring("g", 2, k - 1)).join(p.select("m", F.col("g").alias("s"), F.col("p").alias("q")), ["m", "s"])
+        p = q.select("m", "g", F.coalesce((F.coalesce("left", F.lit(0.0)) + F.col("freed") * F.col("q")) / F.col("total"), F.col("q")).alias("p"))
+    return p.select("m", "g", F.round(-F.log2(F.greatest("p", F.lit(1e-12))) * UNIT).cast("int").alias("bits"))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """``block, m, ids, langs, sizes, blob, grams``: documents of one half and task, their texts
+    compressed together, and the distinct n-grams in them."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(table)  # 4 * ALPHABET^4 bytes
 
-    @F.arrow_udf("struct<n: long, bits: long>")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bits = held.value
-        for b in batches:
-            n, v = [], []
-            for t in b.to_pylist():
-                codes = _codes(classes(t))
-                n.append(len(codes))
-                v.append(int(round(float(bits[codes].mean(dtype=np.float64)) * UNIT)) if len(codes) else None)
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(v, pa.int64())], ["n", "bits"])
+    def pack(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        made = TaskContext.get().partitionId() << 32
+        held, size = ([], []), [0, 0]
+
+        def close(m):
+            nonlocal made
+            ids, langs, texts = zip(*held[m])
+            grams = set()
+            for g, _, _, _ in pieces([t or "" for t in texts]):
+                grams.update(g)
+            sizes = [-1 if t is None else len(t) for t in texts]
+            blob = z.compress("".join(t or "" for t in texts).encode())
+            row = {"block": made, "m": m, "ids": list(ids), "langs": list(langs), "sizes": sizes, "blob": blob, "grams": sorted(grams)}
+            made, size[m] = made + 1, 0
+            held[m].clear()
+            return pa.RecordBatch.from_pylist([row], schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", score("text").alias("kd")).select("doc_id", "lang", F.col("kd.n").alias("n_chars"), F.col("kd.bits").alias("bits"))
+        for b in batches:
+            for m, i, lang, t in zip(*(c.to_pylist() for c in b.columns)):
+                held[m].append((i, lang, t))
+                size[m] += len(t or "") + 16
+                if size[m] >= BLOCK:
+                    yield close(m)
+        for m in (0, 1):
+            if held[m]:
+                yield close(m)
+
+    schema = pa.schema([("block", pa.int64()), ("m", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary()), ("grams", pa.list_(pa.string()))])
+    return docs.select(half().alias("m"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(pack, "block long, m int, ids array<long>, langs array<string>, sizes array<long>, blob binary, grams array<string>")
+
+
+def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``doc_id, lang, n_chars, bits`` per row; bits is the mean per code point, in 1/UNIT."""
+    packed = settle(blocks(docs))
+    asked = packed.select("block", "m", F.explode("grams").alias("g"))
+    answers = asked.join(settle(bits_of(counts, asked.select("m", "g").distinct())).hint("merge"), ["m", "g"]).select(F.col("block").alias("kd_block"), "g", "bits")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        bits = dict(zip(right.column("g").to_pylist(), right.column("bits").to_pylist()))
+        row = left.to_pylist()[0]
+        whole, texts, at = zstandard.ZstdDecompressor().decompress(row["blob"]).decode(), [], 0
+        for n in row["sizes"]:
+            texts.append(whole[at : at + max(n, 0)])
+            at += max(n, 0)
+        total = np.zeros(len(texts), np.int64)
+        for grams, number, owner, begins in pieces(texts):
+            np.add.at(total, owner, np.add.reduceat(np.array([bits[g] for g in grams], np.int64)[number], begins))
+        sizes = [max(n, 0) for n in row["sizes"]]
+        mean = [(int(s) * 2 + n) // (2 * n) if n else None for s, n in zip(total, sizes)]
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_chars": pa.array(sizes, pa.int64()), "bits": pa.array(mean, pa.int64())})
+
+    texts = packed.select("block", "ids", "langs", "sizes", "blob")
+    return texts.groupBy("block").cogroup(answers.groupBy("kd_block")).applyInArrow(score, "doc_id long, lang string, n_chars long, bits long")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` for each row."""
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     counts = settle(trusted_counts(docs, trusted))
-    if counts.isEmpty():
-        table = np.full(ALPHABET**4, np.log2(ALPHABET), np.float32)
-    else:
-        table = bits_table(probabilities(counts))
-    scored = settle(perplexity(docs, table).withColumn("lang", F.coalesce("lang", F.lit(""))))
+    scored = settle(perplexity(docs, counts).withColumn("kd_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))
     known = scored.where("bits is not null").join(trusted.hint("merge"), "doc_id", "left_semi")
-    hist = known.groupBy("lang", "bits").agg(F.count(F.lit(1)).alias("n"))  # few rows: bits are whole thousandths
-    hist = hist.unionByName(hist.groupBy("bits").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bits", "n"))
-    up, all_ = W.partitionBy("lang").orderBy("bits"), W.partitionBy("lang")
-    cut = hist.select("lang", "bits", F.sum("n").over(up).alias("upto"), F.sum("n").over(all_).alias("total")).where(F.col("upto") >= F.col("total") * quantile).groupBy("lang").agg(F.min("bits").alias("cut"))
+    hist = known.groupBy("kd_lang", "bits").agg(F.count(F.lit(1)).alias("n"))  # few rows: bits are whole thousandths
+    hist = hist.unionByName(hist.groupBy("bits").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("kd_lang"), "bits", "n"))
+    up, all_ = W.partitionBy("kd_lang").orderBy("bits"), W.partitionBy("kd_lang")
+    cut = hist.select("kd_lang", "bits", F.sum("n").over(up).alias("upto"), F.sum("n").over(all_).alias("total")).where(F.col("upto") >= F.col("total") * quantile).groupBy("kd_lang").agg(F.min("bits").alias("cut"))
     cut = settle(cut)  # a row a language
-    every = cut.where("lang is null").select(F.col("cut").alias("every"))
-    limits = scored.select("lang").distinct().join(cut, "lang", "left").join(every, F.lit(True), "left").select("lang", F.coalesce("cut", "every").alias("cut"))
+    every = cut.where("kd_lang is null").select(F.col("cut").alias("every"))
+    limits = scored.select("kd_lang").distinct().join(cut, "kd_lang", "left").join(every, F.lit(True), "left").select("kd_lang", F.coalesce("cut", "every").alias("cut"))
     # a written table: its size is known, so that the few rows it mostly has are broadcast and a hot language stays where it is
-    out = scored.join(settle(limits), "lang", "left")
+    out = scored.join(settle(limits), "kd_lang", "left")
     two = lambda c: F.round(F.pow(F.lit(2.0), F.col(c) / UNIT), 4)
-    return out.select("doc_id", F.nullif(F.col("lang"), F.lit("")).alias("lang"), "n_chars", two("bits").alias("perplexity"), two("cut").alias("threshold"), F.coalesce(F.col("bits").isNotNull() & (F.col("cut").isNull() | (F.col("bits") <= F.col("cut"))), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "lang", "n_chars", two("bits").alias("perplexity"), two("cut").alias("threshold"), F.coalesce(F.col("bits").isNotNull() & (F.col("cut").isNull() | (F.col("bits") <= F.col("cut"))), F.lit(False)).alias("kept"))
