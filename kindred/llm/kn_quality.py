@@ -37,6 +37,8 @@ UNIT = 1000
 #: code points of a block of documents (one longer text is a block of its own), and of what is sorted at once
 BLOCK = 1 << 23
 PIECE = 1 << 20
+#: largest table by which numbers are ranked without sorting them
+TABLE = 1 << 22
 #: n-grams that a counting task holds before it hands them on
 HELD = 1 << 20
 #: stands ORDER - 1 times before each text
@@ -65,25 +67,34 @@ def pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray
         yield _numbered(held, owner)
 
 
+def _ranks(code: np.ndarray, bound: int) -> tuple[np.ndarray, int]:
+    """Numbers below ``bound`` by their rank among those that occur, and how many occur."""
+    if bound > TABLE:
+        seen, rank = np.unique(code, return_inverse=True)
+        return rank, len(seen)
+    there = np.zeros(bound, bool)
+    there[code] = True
+    rank = np.cumsum(there, dtype=np.int64) - 1
+    return rank[code], int(rank[-1]) + 1
+
+
 def _numbered(held: list[np.ndarray], owner: list[int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     c = np.concatenate(held)
-    letters, c_id = np.unique(c, return_inverse=True)
-    n, bound = len(c) - ORDER + 1, len(letters)
-    code = c_id[:n].astype(np.int64)
+    sizes = np.array([len(h) for h in held])
+    letter, letters = _ranks(c, int(c.max()) + 1)
+    n = len(c) - ORDER + 1
+    code, many = letter[:n], letters
     for j in range(1, ORDER):
-        if bound * len(letters) >= 1 << 62:  # number anew what occurs
-            seen, code = np.unique(code, return_inverse=True)
-            bound = len(seen)
-        code = code * len(letters) + c_id[j : j + n]
-        bound *= len(letters)
-    ends = np.cumsum([len(h) for h in held])
+        code, many = _ranks(code * letters + letter[j : j + n], many * letters)
     inside = np.ones(n, bool)
     for back in range(1, ORDER):  # n-grams across two texts
-        inside[ends[:-1] - back] = False
+        inside[np.cumsum(sizes)[:-1] - back] = False
     place = np.flatnonzero(inside)
-    _, first, number = np.unique(code[place], return_index=True, return_inverse=True)
-    flat = c[place[first][:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
-    begins = np.concatenate([[0], np.cumsum([len(h) - ORDER + 1 for h in held])[:-1]])
+    number, many = _ranks(code[place], many)
+    of = np.empty(many, np.int64)
+    of[number] = place  # any place of each will do
+    flat = c[of[:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
+    begins = np.cumsum(sizes - ORDER + 1) - (sizes - ORDER + 1)
     return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], number, np.array(owner), begins
 
 
