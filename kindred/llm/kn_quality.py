@@ -5,7 +5,8 @@ script, so the count tables grow with the corpus. Lower orders, contexts and dis
 equi-joins of count tables sharded by n-gram. Documents are packed into blocks of up to BLOCK code
 points; a block asks for each of its distinct n-grams once, the n-grams that any block asks for meet
 the count tables order by order, and the answers go back to the blocks, where whole texts are scored.
-Nothing is broadcast or collected but counts of counts (ten numbers an order).
+Nothing is collected but counts of counts (ten numbers an order), nothing broadcast but two bit filters
+of ids, whose size is fixed.
 
 No document is scored by counts of its own text: documents fall into two halves by crc32 of doc_id,
 and each half is scored by the trusted text of the other. So the threshold of a language, a quantile
@@ -28,17 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, sift, small_batches
+from .common import SIFT_BITS, bit_table, settle, share, sift, small_batches
 
 ORDER = 4
 QUANTILE = 0.995
 #: bits are whole thousandths
 UNIT = 1000
-#: code points of a block of documents (one longer text is a block of its own), and of what is sorted at once
-BLOCK = 1 << 23
-PIECE = 1 << 20
+#: code points of a block of documents, of a run of them held as text, and of what is numbered at once (a longer text is a run of its own)
+BLOCK = 1 << 24
+RUN = 1 << 20
+PIECE = 1 << 18
 #: largest table by which numbers are ranked without sorting them
-TABLE = 1 << 22
+TABLE = 1 << 21
 #: n-grams that a counting task holds before it hands them on
 HELD = 1 << 20
 #: stands ORDER - 1 times before each text
@@ -74,8 +76,8 @@ def _ranks(code: np.ndarray, bound: int) -> tuple[np.ndarray, int]:
         return rank, len(seen)
     there = np.zeros(bound, bool)
     there[code] = True
-    rank = np.cumsum(there, dtype=np.int64) - 1
-    return rank[code], int(rank[-1]) + 1
+    rank = np.cumsum(there, dtype=np.int32) - 1
+    return rank[code].astype(np.int64), int(rank[-1]) + 1
 
 
 def _numbered(held: list[np.ndarray], owner: list[int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +100,7 @@ def _numbered(held: list[np.ndarray], owner: list[int]) -> tuple[list[str], np.n
     return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], number, np.array(owner), begins
 
 
-def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def joined_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``m, g, n``: n-grams over the documents of ``trusted(doc_id)``, m the half they score (the one
     they are not in). Texts that may be trusted travel compressed to the join, the others not at all."""
     small_batches(docs.sparkSession)
@@ -177,72 +179,133 @@ def bits_of(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return p.select("m", "g", F.round(-F.log2(F.greatest("p", F.lit(1e-12))) * UNIT).cast("int").alias("bits"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """``block, m, ids, langs, sizes, blob, grams``: documents of one half and task, their texts
-    compressed together, and the distinct n-grams in them."""
+def _slot(salt: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(salt)), F.lit(SIFT_BITS))
+
+
+def gather(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``blocks`` of ``docs`` and ``m, g, n``, the n-grams of the documents of ``trusted(doc_id)``.
+
+    Texts need not meet the trusted ids in a join: a bit filter marks rows that may be trusted, a second
+    one the rows that the first marks wrongly, which joins of ids alone find out. What only the first
+    marks is trusted for sure and counted while it is packed; the few trusted rows that both mark are
+    counted by a join."""
+    spark = docs.sparkSession
+    first = share(spark, bit_table(trusted.select(_slot(0).alias("s")), SIFT_BITS))  # SIFT_BITS / 4 bytes each
+
+    @F.arrow_udf("boolean")
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array(_among(first.value, b.to_numpy()))
+
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    wrong = ids.where(marked(_slot(0))).join(trusted.hint("merge"), "doc_id", "left_anti").distinct()
+    wrong = settle(wrong)
+    second = share(spark, bit_table(wrong.select(_slot(1).alias("s")), SIFT_BITS))
+
+    @F.arrow_udf("boolean")
+    def unsure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array(_among(second.value, b.to_numpy()))
+
+    packed = settle(blocks(docs, first, second))
+    counts = packed.select(F.expr("1 - m").alias("kd_of"), F.explode(F.arrays_zip("grams", "counts")).alias("kd")).where("kd.counts > 0")
+    # the texts of one half score the other
+    counts = counts.select(F.col("kd_of").alias("m"), F.col("kd.grams").alias("g"), F.col("kd.counts").alias("n"))
+    both = settle(trusted.where(unsure(_slot(1))))
+    if not wrong.isEmpty() and not both.isEmpty():
+        counts = counts.unionByName(joined_counts(docs, both))
+    return packed, settle(counts.groupBy("m", "g").agg(F.sum("n").alias("n")))
+
+
+def _among(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at // 32] >> (at % 32).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def blocks(docs: DataFrame, first, second) -> DataFrame:
+    """``block, m, ids, langs, sizes, blobs, grams, counts``: documents of one half and task, their texts
+    compressed by runs of documents, the distinct n-grams in them, and how often each is in documents
+    that the bit set ``first`` marks and ``second`` does not. Texts are held one run at a time."""
     small_batches(docs.sparkSession)
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=3)
         made = TaskContext.get().partitionId() << 32
-        held, size = ([], []), [0, 0]
+        rows = [None, None]
+
+        def fresh():
+            return {"ids": [], "langs": [], "sizes": [], "blobs": [], "counts": {}, "run": [], "sure": [], "held": 0, "all": 0}
+
+        def end_run(r):
+            for texts, times in (([t for t, y in zip(r["run"], r["sure"]) if y], 1), ([t for t, y in zip(r["run"], r["sure"]) if not y], 0)):
+                for grams, number, _, _ in pieces(texts):
+                    for g, n in zip(grams, np.bincount(number).tolist()):
+                        r["counts"][g] = r["counts"].get(g, 0) + n * times
+            r["blobs"].append(z.compress("".join(r["run"]).encode()))
+            r["run"], r["sure"], r["held"] = [], [], 0
 
         def close(m):
             nonlocal made
-            ids, langs, texts = zip(*held[m])
-            grams = set()
-            for g, _, _, _ in pieces([t or "" for t in texts]):
-                grams.update(g)
-            sizes = [-1 if t is None else len(t) for t in texts]
-            blob = z.compress("".join(t or "" for t in texts).encode())
-            row = {"block": made, "m": m, "ids": list(ids), "langs": list(langs), "sizes": sizes, "blob": blob, "grams": sorted(grams)}
-            made, size[m] = made + 1, 0
-            held[m].clear()
+            r, rows[m] = rows[m], None
+            if r["run"]:
+                end_run(r)
+            grams = sorted(r["counts"])
+            row = {"block": made, "m": m, "grams": grams, "counts": [r["counts"][g] for g in grams]} | {k: r[k] for k in ("ids", "langs", "sizes", "blobs")}
+            made += 1
             return pa.RecordBatch.from_pylist([row], schema)
 
         for b in batches:
-            for m, i, lang, t in zip(*(c.to_pylist() for c in b.columns)):
-                held[m].append((i, lang, t))
-                size[m] += len(t or "") + 16
-                if size[m] >= BLOCK:
+            may = _among(first.value, b.column(4).to_numpy()) & ~_among(second.value, b.column(5).to_numpy())
+            for m, i, lang, t, y in zip(*(c.to_pylist() for c in b.columns[:4]), may.tolist()):
+                r = rows[m] = rows[m] or fresh()
+                r["ids"].append(i)
+                r["langs"].append(lang)
+                r["sizes"].append(-1 if t is None else len(t))
+                r["run"].append(t or "")
+                r["sure"].append(y)
+                r["held"] += len(t or "") + 16
+                r["all"] += len(t or "") + 16
+                if r["held"] >= RUN:
+                    end_run(r)
+                if r["all"] >= BLOCK:
                     yield close(m)
         for m in (0, 1):
-            if held[m]:
+            if rows[m]:
                 yield close(m)
 
-    schema = pa.schema([("block", pa.int64()), ("m", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary()), ("grams", pa.list_(pa.string()))])
-    return docs.select(half().alias("m"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(pack, "block long, m int, ids array<long>, langs array<string>, sizes array<long>, blob binary, grams array<string>")
+    schema = pa.schema([("block", pa.int64()), ("m", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("blobs", pa.list_(pa.binary())), ("grams", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    return docs.select(half().alias("m"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", _slot(0).alias("kd_a"), _slot(1).alias("kd_b")).mapInArrow(pack, "block long, m int, ids array<long>, langs array<string>, sizes array<long>, blobs array<binary>, grams array<string>, counts array<long>")
 
 
-def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``doc_id, lang, n_chars, bits`` per row; bits is the mean per code point, in 1/UNIT."""
-    packed = settle(blocks(docs))
+def perplexity(packed: DataFrame, counts: DataFrame) -> DataFrame:
+    """``doc_id, lang, n_chars, bits`` per row of the blocks; bits is the mean per code point, in 1/UNIT."""
     asked = packed.select("block", "m", F.explode("grams").alias("g"))
-    answers = asked.join(settle(bits_of(counts, asked.select("m", "g").distinct())).hint("merge"), ["m", "g"]).select(F.col("block").alias("kd_block"), "g", "bits")
+    every = settle(asked.select("m", "g").distinct())  # each order below reads it
+    answers = asked.join(settle(bits_of(counts, every)).hint("merge"), ["m", "g"]).select(F.col("block").alias("kd_block"), "g", "bits")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = dict(zip(right.column("g").to_pylist(), right.column("bits").to_pylist()))
         row = left.to_pylist()[0]
-        whole, texts, at = zstandard.ZstdDecompressor().decompress(row["blob"]).decode(), [], 0
-        for n in row["sizes"]:
-            texts.append(whole[at : at + max(n, 0)])
-            at += max(n, 0)
-        total = np.zeros(len(texts), np.int64)
-        for grams, number, owner, begins in pieces(texts):
-            np.add.at(total, owner, np.add.reduceat(np.array([bits[g] for g in grams], np.int64)[number], begins))
-        sizes = [max(n, 0) for n in row["sizes"]]
-        mean = [(int(s) * 2 + n) // (2 * n) if n else None for s, n in zip(total, sizes)]
+        z, mean, sizes = zstandard.ZstdDecompressor(), [], [max(n, 0) for n in row["sizes"]]
+        for blob in row["blobs"]:
+            run, at, texts = z.decompress(blob).decode(), 0, []
+            while len(mean) + len(texts) < len(sizes) and at + sizes[len(mean) + len(texts)] <= len(run):
+                texts.append(run[at : at + sizes[len(mean) + len(texts)]])
+                at += len(texts[-1])
+            total = np.zeros(len(texts), np.int64)
+            for grams, number, owner, begins in pieces(texts):
+                np.add.at(total, owner, np.add.reduceat(np.array([bits[g] for g in grams], np.int64)[number], begins))
+            mean += [(int(s) * 2 + len(t)) // (2 * len(t)) if t else None for s, t in zip(total, texts)]
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_chars": pa.array(sizes, pa.int64()), "bits": pa.array(mean, pa.int64())})
 
-    texts = packed.select("block", "ids", "langs", "sizes", "blob")
+    texts = packed.select("block", "ids", "langs", "sizes", "blobs")
     return texts.groupBy("block").cogroup(answers.groupBy("kd_block")).applyInArrow(score, "doc_id long, lang string, n_chars long, bits long")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, kept`` for each row."""
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    counts = settle(trusted_counts(docs, trusted))
-    scored = settle(perplexity(docs, counts).withColumn("kd_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))
+    scored = settle(perplexity(*gather(docs, trusted)).withColumn("kd_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))))
     known = scored.where("bits is not null").join(trusted.hint("merge"), "doc_id", "left_semi")
     hist = known.groupBy("kd_lang", "bits").agg(F.count(F.lit(1)).alias("n"))  # few rows: bits are whole thousandths
     hist = hist.unionByName(hist.groupBy("bits").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("kd_lang"), "bits", "n"))

@@ -542,7 +542,7 @@ KN_TEXTS = ["the cat sat on the mat.", "the rat ate, the cat!", "on the mat the
 
 def test_kneser_ney_against_brute_force(spark):
     docs = _docs(spark, KN_TEXTS)
-    counts = kn_quality.trusted_counts(docs, docs.select("doc_id").where("doc_id < 6"))
+    _, counts = kn_quality.gather(docs, docs.select("doc_id").where("doc_id < 6"))
     rng = random.Random(14)
     letters = "".join(filter(None, KN_TEXTS)) + "qö" + kn_quality.START
     asked = {(m, "".join(rng.choice(letters) for _ in range(4))) for m in (0, 1) for _ in range(300)}
@@ -555,13 +555,15 @@ def test_kneser_ney_against_brute_force(spark):
             assert r["m"] != m or abs(r["bits"] - bits(r["g"]) * kn_quality.UNIT) <= 0.51
 
 
-@pytest.mark.parametrize("piece,block", [(1 << 20, 1 << 23), (7, 30)])
-def test_perplexity_against_brute_force(spark, monkeypatch, piece, block):
+@pytest.mark.parametrize("piece,block,run,bits", [(1 << 18, 1 << 24, 1 << 20, 1 << 25), (7, 60, 30, 32), (7, 1000, 1, 1 << 25)])
+def test_perplexity_against_brute_force(spark, monkeypatch, piece, block, run, bits):
     monkeypatch.setattr(kn_quality, "PIECE", piece)
     monkeypatch.setattr(kn_quality, "BLOCK", block)
+    monkeypatch.setattr(kn_quality, "RUN", run)
+    monkeypatch.setattr(kn_quality, "SIFT_BITS", bits)  # 32: rows are marked wrongly and joined
     docs = _docs(spark, KN_TEXTS)
-    counts = kn_quality.trusted_counts(docs, docs.select("doc_id").where("doc_id < 6"))
-    got = {r["doc_id"]: r for r in kn_quality.perplexity(docs.unionByName(docs.where("doc_id = 2")), counts).collect()}
+    packed, counts = kn_quality.gather(docs.unionByName(docs.where("doc_id = 8")), docs.select("doc_id").where("doc_id < 6"))
+    got = {r["doc_id"]: r for r in kn_quality.perplexity(packed, counts).collect()}
     assert len(got) == len(KN_TEXTS)
     for i, t in enumerate(KN_TEXTS):
         assert got[i]["n_chars"] == len(t or "")
