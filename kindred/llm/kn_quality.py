@@ -20,6 +20,7 @@ trusted text has uniform bits; rows are independent, repeated rows repeat; an em
 
 from __future__ import annotations
 
+import bz2
 from collections.abc import Iterator
 
 import numpy as np
@@ -229,7 +230,6 @@ def blocks(docs: DataFrame, first, second) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def pack(batches):
-        z = zstandard.ZstdCompressor(level=3)
         made = TaskContext.get().partitionId() << 32
         rows = [None, None]
 
@@ -241,7 +241,7 @@ def blocks(docs: DataFrame, first, second) -> DataFrame:
                 for grams, number, _, _ in pieces(texts):
                     for g, n in zip(grams, np.bincount(number).tolist()):
                         r["counts"][g] = r["counts"].get(g, 0) + n * times
-            r["blobs"].append(z.compress("".join(r["run"]).encode()))
+            r["blobs"].append(bz2.compress("".join(r["run"]).encode()))
             r["run"], r["sure"], r["held"] = [], [], 0
 
         def close(m):
@@ -280,15 +280,17 @@ def blocks(docs: DataFrame, first, second) -> DataFrame:
 def perplexity(packed: DataFrame, counts: DataFrame) -> DataFrame:
     """``doc_id, lang, n_chars, bits`` per row of the blocks; bits is the mean per code point, in 1/UNIT."""
     asked = packed.select("block", "m", F.explode("grams").alias("g"))
-    every = settle(asked.select("m", "g").distinct())  # each order below reads it
-    answers = asked.join(settle(bits_of(counts, every)).hint("merge"), ["m", "g"]).select(F.col("block").alias("kd_block"), "g", "bits")
+    # n-grams move to their counts once, with the blocks of up to 1024 tasks that ask for each
+    asked = settle(asked.groupBy("m", "g", F.shiftright("block", 42).alias("kd_tasks")).agg(F.collect_list("block").alias("by")))
+    every = asked.select("m", "g").distinct()
+    answers = asked.join(settle(bits_of(counts, settle(every))).hint("merge"), ["m", "g"]).select(F.explode("by").alias("kd_block"), "g", "bits")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = dict(zip(right.column("g").to_pylist(), right.column("bits").to_pylist()))
         row = left.to_pylist()[0]
-        z, mean, sizes = zstandard.ZstdDecompressor(), [], [max(n, 0) for n in row["sizes"]]
+        mean, sizes = [], [max(n, 0) for n in row["sizes"]]
         for blob in row["blobs"]:
-            run, at, texts = z.decompress(blob).decode(), 0, []
+            run, at, texts = bz2.decompress(blob).decode(), 0, []
             while len(mean) + len(texts) < len(sizes) and at + sizes[len(mean) + len(texts)] <= len(run):
                 texts.append(run[at : at + sizes[len(mean) + len(texts)]])
                 at += len(texts[-1])
