@@ -575,6 +575,20 @@ def test_perplexity_against_brute_force(spark, monkeypatch, piece, block, run, b
         assert got[i]["bits"] == pytest.approx(np.mean([bits(x[j : j + 4]) for j in range(len(t))]) * kn_quality.UNIT, abs=1.1)
 
 
+def test_rows_that_a_filter_marks_wrongly_are_counted_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(kn_quality, "SIFT_BITS", 32)
+    joined, real = [], kn_quality.joined_counts
+    monkeypatch.setattr(kn_quality, "joined_counts", lambda d, t: joined.append(t.count()) or real(d, t))
+    texts = [f"{i} the cat sat on mat {i * 7}" for i in range(60)]
+    docs = _docs(spark, texts)
+    _, counts = kn_quality.gather(docs, docs.select("doc_id").where("doc_id < 25"))
+    want = Counter()
+    for i, t in enumerate(texts[:25]):
+        x = kn_quality.START * 3 + t
+        want.update((1 - _crc_half(i), x[j : j + 4]) for j in range(len(t)))
+    assert joined and joined[0] > 0 and {(r["m"], r["g"]): r["n"] for r in counts.collect()} == dict(want)
+
+
 def test_numbers_of_ngrams_stay_exact_with_many_letters():
     text = "".join(map(chr, range(0x4E00, 0x9FFF))) + "".join(map(chr, range(0x20000, 0x2A000))) * 2
     grams, number, owner, begins = next(kn_quality.pieces([text]))
