@@ -205,3 +205,78 @@ def test_id_lists_with_other_text_and_fingerprints_of_nulls(spark):
 
 def test_initials_are_single_capitals(spark):
     assert _one(spark, ["ßtraße", "éa", "ŉ", "ᾀ", "ﬁn", "a b", "9", "", None], K.initial) == ["ẞ", "É", "ŉ", "ᾈ", "ﬁ", "A", "9", "", None]
+
+
+def _pairs_by_blocks(spark, monkeypatch, piece=3, face=4):
+    """Sides with large and small groups, keys missing, sizes missing; all pairs by plain Python."""
+    from kindred.operators import pairing
+
+    monkeypatch.setattr(pairing, "PIECE", piece), monkeypatch.setattr(pairing, "FACE", face), monkeypatch.setattr(pairing, "SLICE", 16)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, "xyz"[i % 3] if i % 5 else None, None if i % 11 == 3 else 0 if i % 13 == 5 else 100 + i * i % 37, f"c{i % 9}", i) for i in range(40)]
+    kind = "id string, e string, b string, n long, c string, d long"
+    a, b = (spark.createDataFrame([(f"{p}-{i}", *r) for i, *r in rows], kind) for p in ("S1", "S2"))
+    want = {}
+    for x in rows:
+        for y in rows:
+            if (x[1] and x[1] == y[1]) or (x[2] and x[2] == y[2]):
+                n = [v for v in (x[3], y[3]) if v is not None]
+                s = (2_000_000 * min(n) + max(n)) // (2 * max(n)) if n and max(n) else -1
+                want[f"S1-{x[0]}", f"S2-{y[0]}"] = (s, x[4] == y[4] and x[0] != y[0])
+    return pairing, a, b, want
+
+
+def test_blocks_give_all_pairs_once(spark, monkeypatch):
+    pairing, a, b, want = _pairs_by_blocks(spark, monkeypatch)
+    got = pairing.every(a, b).collect()
+    assert len(got) == len(want) and {(r["s1_id"], r["target_id"]): (r["s"], r["same"]) for r in got} == want
+
+
+def test_blocks_count_what_pairs_have(spark, monkeypatch):
+    pairing, a, b, want = _pairs_by_blocks(spark, monkeypatch)
+    got = {r["s1_id"]: tuple(r)[1:] for r in pairing.counts(a, b, [(-1, None), (900_000, None)]).collect()}
+    own = {i: [v for (x, _), v in want.items() if x == i] for i, _ in want}
+    assert got == {i: (len(v), sum(t for _, t in v), sum(s >= 900_000 for s, _ in v), sum(t for s, t in v if s >= 900_000)) for i, v in own.items()}
+    hist = {r["s"]: (r["n"], r["positives"]) for r in pairing.histogram(a, b).collect()}
+    assert hist == {s: (sum(v[0] == s for v in want.values()), sum(v[1] for v in want.values() if v[0] == s)) for s, _ in want.values()}
+
+
+def test_blocks_give_the_best_and_sorted_lists(spark, monkeypatch):
+    pairing, a, b, want = _pairs_by_blocks(spark, monkeypatch)
+    ranked = {}
+    for (x, y), (s, _) in sorted(want.items(), key=lambda kv: (-kv[1][0], kv[0][1])):
+        ranked.setdefault(x, []).append((y, s))
+    for k in (1, 3):
+        got = decide.top(pairing.best(a, b, k).withColumn("score", F.col("s")), k).collect()
+        assert {(r["s1_id"], r["target_id"]) for r in got} == {(x, y) for x, v in ranked.items() for y, _ in v[:k]}
+    listed = decide.submission_of(a.select(F.col("id").alias("s1_id")), pairing.lists(a, b, 900_000)).collect()
+    assert {r[0]: r[1] for r in listed} == {f"S1-{i}": ",".join(y for y, s in ranked.get(f"S1-{i}", []) if s >= 900_000) for i in range(40)}
+
+
+def test_margins_and_calibration_from_counts(spark, monkeypatch):
+    from kindred.operators import learn
+
+    pairing, a, b, _ = _pairs_by_blocks(spark, monkeypatch)
+    p = pairing.every(a, b).where("s >= 0").withColumns({"score": F.col("s") / 1_000_000, "label": F.col("same").cast("int")})
+    truth, u = p.where("same").select("s1_id", "target_id"), a.select(F.col("id").alias("s1_id"))
+    cells = [(t, m) for t in (0.8, 0.95) for m in (0.0, 0.1)]
+    top = pairing.best(a, b, 1).groupBy(F.col("s1_id").alias("id")).agg(F.max("s").alias("best"))
+    n = pairing.counts(a.join(top, "id"), b, [(round(t * 1e6), round(m * 1e6)) for t, m in cells])
+    found = lambda x: {(r["threshold"], r["margin"]): (round(r["macro_f05"], 9), r["predicted"], r["tp"]) for r in x.collect()}
+    assert found(evaluate.margin_grid_of(u, truth.groupBy("s1_id").agg(F.count("*").alias("a")), n, cells)) == found(evaluate.margin_grid(u, truth, p, [0.8, 0.95], [0.0, 0.1]))
+    hist = pairing.histogram(a, b)
+    x, y = ({r["bucket"]: (r["n"], r["positives"], round(r["rate"], 9), round(r["mean_score"], 9)) for r in c.collect()} for c in (evaluate.calibration(p), evaluate.calibration_of(hist.where("s >= 0"))))
+    assert x == y
+    plain = {(r["s1_id"], r["target_id"]): round(r["prob"], 6) for r in learn.apply_calibration(learn.calibrate(p), p).collect()}
+    model = learn.calibrate_of(hist)
+    assert plain == {(r["s1_id"], r["target_id"]): round(r["q"], 6) for r in p.withColumn("q", learn.calibrated(model, F.col("score"))).collect()}
+
+
+def test_labelled_sample_takes_the_smallest_hashes(spark):
+    import hashlib
+
+    rows = [(f"S1-{i}", f"S2-{i}", int(i % 3 == 0)) for i in range(60)]
+    got = {tuple(r) for r in evaluate.labelled_sample(spark.createDataFrame(rows, "s1_id string, target_id string, label int"), 4, 9).collect()}
+    order = sorted(rows, key=lambda r: hashlib.sha256(f"{r[0]}|{r[1]}".encode()).hexdigest())
+    assert got == {*[r for r in order if r[2]][:4], *[r for r in order if not r[2]][:9]}
+    plan = evaluate.labelled_sample(spark.createDataFrame(rows, "s1_id string, target_id string, label int"), 4, 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2
