@@ -15,7 +15,7 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: bytes of chunks, ids and their bookkeeping that one generation holds, about
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 36_000_000
 #: what an entry takes beside its own bytes
 _ENTRY = 200
 #: longer chunks hardly repeat and are not remembered

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import settle, small_batches, trim
 from .encode import DEFAULT_TOKENIZER, encoder
 
 CAPACITY = 2048
@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_T
     tail = int(end).to_bytes(4, "little")
 
     def cut(batches):
+        trim()
         enc = encoder(tokenizer)
         for b in batches:
             rows = []

@@ -738,3 +738,13 @@ def test_sift_keeps_every_row_and_misses_no_key(spark):
     assert some.count() + len(others) == 200
     none, all_ = sift(docs, keys.where("false"), "doc_id")
     assert none.count() == 0 and all_.count() == 200
+
+
+def test_trim_gives_back_what_a_long_text_took():
+    from kindred.llm import common
+
+    raw = b"a" * 300_000 + b" bc"
+    before = common.word_hashes(raw)
+    assert len(common._POWERS[0]) >= 300_000
+    common.trim()
+    assert len(common._POWERS[0]) == 1 and (common.word_hashes(raw) == before).all()
