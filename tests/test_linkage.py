@@ -291,3 +291,16 @@ def test_siblings_of_groups_are_those_of_pairs(spark, monkeypatch):
     pairs = {(x, i) for x, y in want for i, k, s in t if k and k == of[y][0] and s != of[y][1]}
     got = [tuple(r) for r in pairing.siblings(a, b).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
+
+
+def test_shared_words_are_those_of_pairs(spark, monkeypatch):
+    pairing, a, b, want = _pairs_by_blocks(spark, monkeypatch)
+    number = F.substring_index("id", "-", -1).cast("int")
+    text = F.when(number % 8 == 0, "").otherwise(F.concat(F.lit("r "), number % 4, F.lit("  r q"), number % 3))
+    a, b = (x.withColumn("w", text) for x in (a, b))
+    w = {r["id"]: set(r["w"].split(" ")) for r in a.unionByName(b).collect()}
+    got = [tuple(r) for r in pairing.set_similarity(a, b).collect()]
+    assert len(got) == len(want)
+    assert all((j, o) == pytest.approx((len(w[x] & w[y]) / len(w[x] | w[y]), len(w[x] & w[y]) / min(len(w[x]), len(w[y]))), abs=6e-7) for x, y, j, o in got)
+    key = {r["id"]: r["e"] for r in a.unionByName(b).collect()}
+    assert sorted(map(tuple, pairing.sharing(a, b, "e", 2).collect())) == sorted((x, y) for x, y in want if key[x] and key[x] == key[y] and len(w[x] & w[y]) >= 2)
