@@ -304,3 +304,10 @@ def test_shared_words_are_those_of_pairs(spark, monkeypatch):
     assert all((j, o) == pytest.approx((len(w[x] & w[y]) / len(w[x] | w[y]), len(w[x] & w[y]) / min(len(w[x]), len(w[y]))), abs=6e-7) for x, y, j, o in got)
     key = {r["id"]: r["e"] for r in a.unionByName(b).collect()}
     assert sorted(map(tuple, pairing.sharing(a, b, "e", 2).collect())) == sorted((x, y) for x, y in want if key[x] and key[x] == key[y] and len(w[x] & w[y]) >= 2)
+
+
+def test_values_of_scores_reach_all_pairs(spark, monkeypatch):
+    pairing, a, b, want = _pairs_by_blocks(spark, monkeypatch)
+    table = {s: None if s < 0 else s / 7 for s, _ in want.values()}
+    got = pairing.valued(a, b, table, "v").collect()
+    assert len(got) == len(want) and {(x, y): v for x, y, v in got} == {k: table[s] for k, (s, _) in want.items()}
