@@ -311,3 +311,44 @@ def test_values_of_scores_reach_all_pairs(spark, monkeypatch):
     table = {s: None if s < 0 else s / 7 for s, _ in want.values()}
     got = pairing.valued(a, b, table, "v").collect()
     assert len(got) == len(want) and {(x, y): v for x, y, v in got} == {k: table[s] for k, (s, _) in want.items()}
+
+
+def _alike_documents(spark, path, n=90):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("eeeaattnoishrdlué") for _ in range(r.randint(1, 9)))
+    line = lambda k: " ".join(word() for _ in range(r.randint(0, k)))
+    one = ["Common Name ltd", "common name, ltd", "Common name Ltd near 12b"]
+    rows = [(i, f"{r.choice(one) if i % 3 else line(9)}\n{r.choice(['', '12b Road', 'rd 7 ']) if i % 4 == 0 else line(60) + ' ' + str(i % 5)}\nx", "en" if i % 5 else "fr", "abcd" if i % 2 else "abc", i) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_against_many_are_texts_one_by_one(monkeypatch):
+    import random
+
+    from kindred.operators import alike
+
+    monkeypatch.setattr(alike, "CELLS", 200)
+    r = random.Random(3)
+    text = lambda *n: "".join(r.choice("eeeaattn  oishrdlu.ABéü") for _ in range(r.choice(n))).encode()
+    for _ in range(150):
+        a, many = text(0, 1, 2, 3, 4, 7, 15, 70, 300), [text(0, 1, 2, 3, 5, 8, 20, 60) for _ in range(r.randint(1, 30))]
+        assert alike.jaro_winkler_all(a, alike.positions(many)).tolist() == [S.jaro_winkler_bytes(a, b) for b in many]
+
+
+def test_canonical_features_of_blocks(spark, tmp_path):
+    from kindred.operators import features
+
+    d = _alike_documents(spark, tmp_path)
+    got = catalog.queries()["s7_s9_canonical_features"](spark, d)
+    assert "ArrowEvalPython" not in _plan(got)  # no call for each pair
+    x = features.canonical(features.attach(catalog.pairs(spark, d), catalog.s1(spark, d), catalog.tgt(spark, d)))
+    want = x.select("s1_id", "target_id", *(F.round(n, 9).alias(n) for n in features.NAMES))
+    got, want = ({r[:2]: r[2:] for r in z.select(want.columns).collect()} for z in (got, want))
+    assert len(got) > 1000 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-9) for k in got)
