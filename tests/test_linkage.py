@@ -364,3 +364,26 @@ def test_interactions_of_blocks(spark, tmp_path):
     want = {(r["s1_id"], r["target_id"]): (r["name_addr_jw_prod"], r["name_addr_exact_prod"]) for r in x.collect()}
     got = {(r["s1_id"], r["target_id"]): (r["jw"], r["exact"]) for r in got.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=6e-7) for k in got)
+
+
+def test_forensics_of_blocks(spark, tmp_path):
+    from kindred.operators import features
+
+    d = _alike_documents(spark, tmp_path)
+    got = catalog.queries()["s10_forensics"](spark, d)
+    assert "ArrowEvalPython" not in _plan(got)
+    x = features.forensics(features.attach(catalog.pairs(spark, d), catalog.s1(spark, d), catalog.tgt(spark, d)))
+    want = x.drop("s1_name", "s1_address", "s1_country", "tgt_name", "tgt_address", "tgt_country")
+    assert got.columns == want.columns
+    got, want = (sorted(map(tuple, z.collect())) for z in (got, want))
+    assert len(got) > 1000 and got == want
+
+
+def test_landmarks_across_texts():
+    import pyarrow as pa
+
+    from kindred.operators import alike
+
+    one, two = pa.chunked_array([["by the ne", "sec", "x", ""]]), pa.chunked_array([["ar it", "tor 5", "road", ""]])
+    hit = alike._across(one, True)[:, None] & alike._across(two, False) != 0
+    assert hit.tolist() == [[True, False, False, False], [False, True, False, False], [False] * 4, [False] * 4]
