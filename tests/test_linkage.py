@@ -387,3 +387,46 @@ def test_landmarks_across_texts():
     one, two = pa.chunked_array([["by the ne", "sec", "x", ""]]), pa.chunked_array([["ar it", "tor 5", "road", ""]])
     hit = alike._across(one, True)[:, None] & alike._across(two, False) != 0
     assert hit.tolist() == [[True, False, False, False], [False, True, False, False], [False] * 4, [False] * 4]
+
+
+def _named(spark, n=60):
+    """Records of two countries: copies, names of common and of rare words, empty and missing names."""
+    names = [f"{'the red'[: 3 + 4 * (i % 2)]} {'abcdefgh'[i % 8] * 3} {'word' + str(i // 3) if i % 5 else ''} house" for i in range(n)]
+    names[7], names[11], names[13] = "", None, "the the red the red"
+    rows = [(f"r{i:02}", x, "en" if i % 4 else "fr") for i, x in enumerate(names)] + [(f"c{i:02}", "the red ccc", "en") for i in range(9)] + [("z", "the", None)]
+    return rows, spark.createDataFrame(rows, "entity_id string, name string, country string")
+
+
+def test_word_tfidf_of_blocks_is_that_of_joined_terms(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7), monkeypatch.setattr(retrieval, "TERMS", 50)
+    _, df = _named(spark)
+    # records are queries and targets under one id, and are not their own neighbours
+    run = lambda blocked: {(r["s1_id"], r["target_id"], r["rank"]): r["score"] for r in retrieval.tfidf_top_k(df, df, retrieval.word_ngrams(F.col("name")), 4, 0.5, blocked=blocked).collect()}
+    got, want = run(True), run(False)
+    assert len(got) > 100 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got)
+
+
+def test_word_tfidf_query_moves_no_joined_terms(spark, tmp_path):
+    _alike_documents(spark, tmp_path)
+    got = catalog.queries()["j24_tfidf_words"](spark, str(tmp_path))
+    assert got.columns == ["s1_id", "target_id", "score", "rank"] and "FlatMapCoGroupsInArrow" in _plan(got)
+
+
+def test_products_of_rare_and_common_terms(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = ((rng.random((n, 60)) < np.linspace(0.01, 0.9, 60)) * rng.random((n, 60)) for n in (23, 31))
+    b[:, 9], a[:, 17] = 0, 0
+    for common, cells, hits, width in ((0.01, 100, 9, 4), (2, 100, 9, 4), (-1, 10**6, 10**6, 256), (0.2, 10**6, 40, 7)):
+        for name, value in (("COMMON", common), ("CELLS", cells), ("HITS", hits), ("WIDTH", width)):
+            monkeypatch.setattr(retrieval, name, value)
+        for ones in (False, True):
+            sides = []
+            for x in (a, b):
+                p = retrieval._Piece.__new__(retrieval._Piece)
+                p.rows, (p.row, col) = len(x), np.nonzero(x)
+                p.i, p.w = col * 10**12, None if ones and x is b else x[p.row, col]
+                sides.append(p)
+            got = np.concatenate([d for _, d in retrieval._products(*sides)])
+            assert np.allclose(got, a @ ((b > 0) if ones else b).T)
