@@ -430,3 +430,27 @@ def test_products_of_rare_and_common_terms(monkeypatch):
                 sides.append(p)
             got = np.concatenate([d for _, d in retrieval._products(*sides)])
             assert np.allclose(got, a @ ((b > 0) if ones else b).T)
+
+
+def test_token_index_of_blocks(spark, monkeypatch):
+    from math import log1p
+
+    monkeypatch.setattr(retrieval, "BLOCK", 5)
+    rows, df = _named(spark)
+    words = {i: {w for w in (x or "").split() if len(w) >= 3} for i, x, _ in rows}
+    df_of = lambda c, w: sum(w in words[i] for i, _, o in rows if o == c)
+    for same in (True, False):
+        targets = df if same else df.withColumn("entity_id", F.concat(F.lit("t-"), "entity_id"))
+        got = {}
+        made = retrieval.token_index(df, targets, F.filter(F.split("name", " "), lambda x: F.length(x) >= 3), 6, 30)
+        for r in made.collect():
+            got.setdefault(r["s1_id"], {})[r["rank"]] = (r["target_id"], r["score"])
+        for i, _, c in rows:
+            found = []
+            for j, _, d in rows:
+                shared = [w for w in words[i] & words[j] if df_of(c, w) <= 30] if c and c == d and not (same and i == j) else []
+                if shared:
+                    found.append((-round(sum(log1p(len(rows) / df_of(c, w)) for w in shared), 4), j if same else f"t-{j}"))
+            assert got.get(i, {}) == {at + 1: (j, -s) for at, (s, j) in enumerate(sorted(found)[:6])}
+    plan = _plan(made)
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan.split("FlatMapCoGroupsInArrow")[0]
