@@ -454,3 +454,21 @@ def test_token_index_of_blocks(spark, monkeypatch):
             assert got.get(i, {}) == {at + 1: (j, -s) for at, (s, j) in enumerate(sorted(found)[:6])}
     plan = _plan(made)
     assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_folds_are_scored_from_features_of_blocks(spark, tmp_path, monkeypatch):
+    from kindred.operators import features, learn
+    from kindred.plans import linkage
+
+    d, seen = _alike_documents(spark, tmp_path), []
+    real = learn.out_of_fold
+    monkeypatch.setattr(learn, "out_of_fold", lambda df, *a, **b: (seen.append(df), real(df, *a, **b))[1])
+    got = catalog.queries()["l2_l4_out_of_fold_scores"](spark, d)
+    # features are read, not made anew for every model and fold
+    assert not any(x in _plan(got) for x in ("FlatMapGroupsInArrow", "Join"))
+    pairs = linkage.label(catalog.pairs(spark, d), catalog.truth(spark, d)).withColumn("fold", K.fold("s1_id", 5))
+    want = features.canonical(features.attach(pairs, catalog.s1(spark, d), catalog.tgt(spark, d)))
+    of = lambda df: sorted(tuple(r) for r in df.select("s1_id", "target_id", "fold", "label", *(F.round(c, 9) for c in features.NAMES)).collect())
+    assert of(seen[0]) == of(want)
+    rows = got.collect()
+    assert got.columns == ["s1_id", "target_id", "fold", "label", "score"] and len(rows) == want.count() and all(0 <= r["score"] <= 1 for r in rows)
