@@ -472,3 +472,31 @@ def test_folds_are_scored_from_features_of_blocks(spark, tmp_path, monkeypatch):
     assert of(seen[0]) == of(want)
     rows = got.collect()
     assert got.columns == ["s1_id", "target_id", "fold", "label", "score"] and len(rows) == want.count() and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_matched_characters_are_those_of_difflib():
+    import difflib
+    import random
+
+    from kindred.operators import alike
+
+    r = random.Random(8)
+    text = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    for of in ("ab", "abcde fgh", "eeeeeettttaaoinshrdlucmfwypvbgkjqxz0123456789 "):
+        for _ in range(60):
+            a, b = text(r.choice((0, 1, 7, 60, 230)), of), text(r.choice((1, 9, 199, 200, 330)), of)
+            a = r.choice((a, b[5:] + a, a + b[:70], b))
+            want = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+            assert alike.Sequences(b).matched(a) == want
+
+
+def test_compact_features_of_blocks(spark, tmp_path):
+    from kindred.operators import features
+
+    d = _alike_documents(spark, tmp_path)
+    got = catalog.queries()["s1_s6_compact_features"](spark, d)
+    assert "ArrowEvalPython" not in _plan(got)
+    want = features.compact(catalog.pairs(spark, d), catalog.s1(spark, d), catalog.tgt(spark, d))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    got, want = (sorted(map(tuple, z.collect())) for z in (got, want))
+    assert len(got) > 1000 and got == want
