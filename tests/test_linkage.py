@@ -500,3 +500,13 @@ def test_compact_features_of_blocks(spark, tmp_path):
     assert got.columns == want.columns and got.dtypes == want.dtypes
     got, want = (sorted(map(tuple, z.collect())) for z in (got, want))
     assert len(got) > 1000 and got == want
+
+
+def test_char3_multiplies_equal_names_once(spark, tmp_path, monkeypatch):
+    tables, real = [], retrieval.settle
+    monkeypatch.setattr(retrieval, "settle", lambda df: (tables.append(real(df)), tables[-1])[1])
+    rows = [(i, f"name {'abc'[i % 3]} ltd\n{i} road", "en" if i % 4 else "fr", "abcd", 20) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["j25_tfidf_char3"](spark, str(tmp_path))
+    sets = [t for t in tables if "v" in t.columns]
+    assert len(sets) == 1 and sets[0].count() == 6 and got.count() == 2000 and got.where("score = 1").count() == 2000
