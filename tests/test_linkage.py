@@ -490,6 +490,47 @@ def test_matched_characters_are_those_of_difflib():
             assert alike.Sequences(b).matched(a) == want
 
 
+def test_characters_of_many_texts_are_matched_at_once(monkeypatch):
+    import difflib
+    import random
+
+    import numpy as np
+
+    from kindred.operators import alike
+
+    r = random.Random(9)
+    text = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    numbers = lambda t: np.array([ord(c) for c in t], np.int32)
+    for points in (1 << 20, 900):
+        monkeypatch.setattr(alike, "POINTS", points)
+        for of in ("ab", "abcde fgh", "eeeeeettttaaoinshrdlucmfwypvbgkjqxz0123456789 ", "eeeeeeeettttttttaaaaaaaoooooooxyz,.;ABCDEFGHIJKLMN"):
+            for n in (1, 2, 9, 70, 199, 200, 330, 650):
+                b = text(n, of)
+                a = ["", *(text(k, of) for k in (1, 7, 60, 230, 500))]
+                a += [b[5:] + a[3], a[3] + b[:70], a[4] + b[30:90] + a[3] + b[10:30], b[:100] + "Q" + b[101:], b]
+                want = [sum(m.size for m in difflib.SequenceMatcher(None, x, b).get_matching_blocks()) for x in a]
+                many = alike.Many([numbers(x) for x in a], 128)
+                assert many.matched(numbers(b)).tolist() == many.matched(numbers(b), len(a) - 1).tolist() == want
+
+
+def test_sequence_ratios_of_a_group_take_no_step_a_pair(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from kindred.operators import alike, pairing
+
+    r, calls = random.Random(2), []
+    line = lambda: "".join(r.choice("eeeaattnoishrdlu   ,.12") for _ in range(r.choice((20, 150, 260))))
+    side = lambda n: pa.table({"k": ["g"] * n, "n": [1] * n, "c": ["c"] * n, "d": [1] * n, "aa": [line() for _ in range(n)]})
+    block = pairing.Block(side(40), side(30), False)
+    monkeypatch.setattr(alike.Sequences, "matched", lambda self, a: calls.append(a))
+    *_, li, ri, _s, _t = next(block.slices())
+    got = alike._Ratios(block, "aa").of(li, ri, 4)
+    a, b = (t.column("aa").to_pylist() for t in (block.left, block.right))
+    assert not calls and got.tolist() == pytest.approx([S.sequence_ratio_value(a[i], b[j]) for i, j in zip(li, ri)], abs=6e-5)
+
+
 def test_compact_features_of_blocks(spark, tmp_path):
     from kindred.operators import features
 
