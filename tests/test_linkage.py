@@ -366,6 +366,31 @@ def test_interactions_of_blocks(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=6e-7) for k in got)
 
 
+@pytest.mark.parametrize("name", ["s7_s9_canonical_features", "s8_interactions"])
+def test_pairs_are_compared_where_they_are_joined(spark, tmp_path, monkeypatch, name):
+    from kindred.operators import alike
+
+    d = _alike_documents(spark, tmp_path, 60)
+    got = catalog.queries()[name](spark, d)
+    assert "FlatMapGroupsInArrow" not in _plan(got)  # no block leaves the JVM
+    monkeypatch.setattr(alike.jvm, "jaro_winkler", lambda spark: None)
+    blocks = catalog.queries()[name](spark, d)  # without access to the JVM
+    assert "FlatMapGroupsInArrow" in _plan(blocks) and got.dtypes == blocks.dtypes
+    got, blocks = (sorted(map(tuple, z.collect())) for z in (got, blocks))
+    assert len(got) > 500 and got == blocks
+
+
+def test_training_sample_is_drawn_once(spark, tmp_path, monkeypatch):
+    from kindred.operators import learn
+
+    drawn, real = [], learn.downsample
+    monkeypatch.setattr(learn, "downsample", lambda df: (drawn.append(df), real(df))[1])
+    rows = [(f"S1-{i}", f"S2-{i}", i % 5, int(i % 3 == 0), float(i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "s1_id string, target_id string, fold int, label int, x double")
+    got, models = learn.out_of_fold(df, ["x"], trees=1, depth=1)
+    assert len(drawn) == 1 and len(models) == 5 and got.count() == 600
+
+
 def test_forensics_of_blocks(spark, tmp_path):
     from kindred.operators import features
 
